@@ -6,18 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import windows
+from loomgraph.llm import suffixes, windows
 from loomgraph.llm.shared import read
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_spans(read(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.repeated_spans(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_suffix_array_dedup": windows.oracle(),
     "op9_substring_dedup": windows.oracle(),
 }
