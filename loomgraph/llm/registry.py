@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import fingerprints, suffixes, windows
+from loomgraph.llm import contamination, fingerprints, quality, suffixes, windows
 from loomgraph.llm.shared import read
 
 
@@ -14,6 +14,14 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_spans(read(spark, sf_dir, "documents"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(read(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.near_groups(read(spark, sf_dir, "documents"))
 
@@ -24,11 +32,14 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_quality_rules": op4_quality_rules,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op1_suffix_array_dedup": windows.oracle(),
+    "op3_benchmark_decontamination": contamination.oracle(),
     "op9_substring_dedup": windows.oracle(),
 }
