@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int =
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    made = rows.groupBy(F.lit(1)).applyInArrow(_train(epochs, rare), "model binary").collect()
+    made = rows.groupBy().applyInArrow(_train(epochs, rare), "model binary").collect()
     if not made:
         return Model(np.empty(0, np.uint64), np.empty(0), -1e9)
     words, weights, bias = unpack(bytes(made[0].model))
