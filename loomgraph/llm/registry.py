@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe, contamination, fingerprints, quality, suffixes, toxicity, windows
+from loomgraph.llm import bpe, contamination, fingerprints, quality, rans, suffixes, toxicity, windows
 from loomgraph.llm.shared import read
 
 
@@ -14,6 +14,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_spans(read(spark, sf_dir, "documents"))
 
 
+def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.blocks(read(spark, sf_dir, "documents"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -40,6 +44,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_token_binary": op2_token_binary,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
