@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe, contamination, fingerprints, quality, rans, suffixes, toxicity, windows
+from loomgraph.llm import bpe, captures, contamination, fingerprints, quality, rans, suffixes, toxicity, windows
 from loomgraph.llm.shared import read
 
 
@@ -30,6 +30,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.near_groups(read(spark, sf_dir, "documents"))
 
 
+def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captures.index(read(spark, sf_dir, "pages"))
+
+
 def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_warc_index": op6_warc_index,
     "op8_bpe_encoding": op8_bpe_encoding,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_toxicity": op10_toxicity,
@@ -56,5 +61,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_suffix_array_dedup": windows.oracle(),
     "op3_benchmark_decontamination": contamination.oracle(),
+    "op6_warc_index": captures.oracle(),
     "op9_substring_dedup": windows.oracle(),
 }
