@@ -35,7 +35,8 @@ from loomgraph.llm.windows import pack, unpack
 
 NEAR, NEAR_ALL = 12, 20
 SHARES = (3, 2, 2, 2)
-WORDS = len(SHARES)
+#: Groups of anchors of each word.
+PARTS = 256
 
 #: Bytes that end a word: ASCII other than letters and digits.
 GAP = np.ones(256, bool)
@@ -187,7 +188,6 @@ def _send(parts: int):
                         for p in np.flatnonzero(np.diff(cut)):
                             j = i[cut[p] : cut[p + 1]]
                             keys.append(w * parts + p)
-                            # visitors of many anchors are sent once to a part, with the list of their anchors
                             rows.append(pack(np.full(1, kind, np.uint8), a[cut[p] : cut[p + 1]].astype(np.uint16), *_shared(node, low, high, j)))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(rows, pa.binary())], schema=schema)
 
@@ -273,11 +273,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """See the module's text.  Returns doc_id, group_id, n_docs, keep."""
-    spark = docs.sparkSession
     prints = written(fingerprints(docs).distinct(), "fingerprints")
     nodes = prints.groupBy("low", "high").agg(F.min("doc_id").alias("node"))
-    parts = max(16, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    found = nodes.select("node", "low", "high").mapInArrow(_send(parts), "part int, packed binary").groupBy("part").applyInArrow(_meet, "src long, dst long")
+    found = nodes.select("node", "low", "high").mapInArrow(_send(PARTS), "part int, packed binary").groupBy("part").applyInArrow(_meet, "src long, dst long")
     same = prints.join(nodes, ["low", "high"]).where("doc_id <> node").select(F.col("doc_id").alias("src"), F.col("node").alias("dst"))
     linked = components(found.union(same))
     members = linked.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
