@@ -6,7 +6,7 @@ document is a hit if the same words occur in a benchmark item.  Items of fewer t
 looked for whole; shorter ones say too little and are left out.  Hits of an item that overlap or adjoin make a span.
 report(): a row for each span: doc_id, item_id, start_word, end_word (exclusive), n_words.
 cleaned(): the documents without those spans (action 'span': the characters from the first to the last word of each
-span are cut, a blank is left), or without the documents that have one (action 'document').
+span are cut; documents of which only white space is left go), or without the documents that have one (action 'document').
 
 Plan: no shuffle.  The benchmark's n-grams are collected while they number at most `most_grams` (8 bytes of hash and the
 item, so 32 MB at the default) and broadcast; beyond that the windows are joined with them instead.  The scan hashes
@@ -181,7 +181,10 @@ def _cleaned(grams, action: str):
             for r in rows:
                 texts[r] = cut_spans(texts[r], [(a, b) for x, _, a, b in spans if x == r])
             at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            left = np.ones(batch.num_rows, bool)
+            left[[r for r in rows if not texts[r].strip()]] = False
+            yield batch.filter(pa.array(left))
 
     return run
 

@@ -18,6 +18,7 @@ count once); an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -26,6 +27,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.llm import textscan
 from loomgraph.llm.shared import chunks, doc_ids, pieces, plan_bytes, utf8_buffers
@@ -233,3 +235,51 @@ g AS (SELECT *, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id, kind ORDER BY p)
 i AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id, kind ORDER BY p) AS run FROM g)
 SELECT doc_id, kind, CAST(min(p) AS INTEGER) AS start_word, CAST(max(p) + {length} AS INTEGER) AS end_word, CAST(max(p) + {length} - min(p) AS INTEGER) AS n_words
 FROM i GROUP BY doc_id, kind, run"""
+
+
+_WORD = re.compile(r"[^ \t\n\r\f\v]+")
+
+
+def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the characters from the first to the last word of each span."""
+    words = [m.span() for m in _WORD.finditer(text)]
+    out, at = [], 0
+    for a, b in sorted(spans):
+        i, j = words[a][0], words[b - 1][1]
+        if j > at:
+            out.append(text[at : max(at, i)])
+            at = j
+    return "".join(out) + text[at:]
+
+
+def _cut(text_at: int, spans: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cuts = batch.column(spans)
+            batch = batch.select([n for n in batch.schema.names if n != spans])
+            rows = np.flatnonzero(np.asarray(cuts.is_valid()))
+            if len(rows):
+                texts = batch.column(text_at).to_pylist()
+                for r in rows.tolist():
+                    if texts[r] is not None:
+                        texts[r] = cut_words(texts[r], [(s["start_word"], s["end_word"]) for s in cuts[r].as_py()])
+                batch = batch.set_column(text_at, batch.schema.field(text_at), pa.array(texts, batch.schema.field(text_at).type))
+            yield batch
+
+    return run
+
+
+def without_later(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """docs, all columns, without the words of the 'later' spans; documents that lose all their words go.
+
+    Rows with a null doc_id and documents that had no word stay as they are.
+    """
+    mark = "spans"
+    while mark in {c.lower() for c in docs.columns}:
+        mark += "_"
+    later = spans.where("kind = 'later'").groupBy(F.col("doc_id").alias(f"{mark}_doc")).agg(F.collect_list(F.struct("start_word", "end_word")).alias(mark))
+    joined = docs.join(later, F.col("doc_id").cast("long") == F.col(f"{mark}_doc"), "left").drop(f"{mark}_doc")
+    joined = joined.select(*[F.col(f"`{c}`") for c in docs.columns], mark, F.col(mark).isNotNull().alias(f"{mark}_cut"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(f"{mark}_cut", T.BooleanType())])
+    cut = joined.mapInArrow(_cut(docs.columns.index("text"), mark), schema)
+    return cut.where(~F.col(f"{mark}_cut") | F.col("text").rlike("[^ \\t\\n\\r\\f\\x0B]")).drop(f"{mark}_cut")
