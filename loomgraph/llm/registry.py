@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe, captures, contamination, fingerprints, quality, rans, suffixes, toxicity, windows
+from loomgraph.llm import bpe, captures, contamination, fingerprints, mixing, quality, rans, suffixes, toxicity, windows
 from loomgraph.llm.shared import read
 
 
@@ -34,6 +34,10 @@ def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.index(read(spark, sf_dir, "pages"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.scores(read(spark, sf_dir, "documents"))
+
+
 def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_warc_index": op6_warc_index,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_bpe_encoding": op8_bpe_encoding,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_toxicity": op10_toxicity,
