@@ -5,6 +5,440 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph import schema as S
+from loomgraph.functions import text as X
+from loomgraph.operators import context, edges, feedback, graph, relevance, semantic, tfidf
+from loomgraph.session import read
+from loomgraph.sources.tables import FK_SQL, fk_edges, fk_nodes
+from loomgraph.streaming import traces as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+TOKENS = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: len(x) >= 2)"
+POSTS = f"""t AS (SELECT doc_id AS doc, {TOKENS} AS ts FROM documents), l AS (SELECT doc, len(ts) AS doc_len, unnest(ts) AS term FROM t),
+p AS (SELECT doc, term, count(*) AS cnt, first(doc_len) AS doc_len FROM l GROUP BY doc, term),
+v AS (SELECT term, count(*) AS doc_count, sum(cnt) AS term_count, ln(1 + (SELECT count(*) FROM documents)::DOUBLE / count(*)) AS idf FROM p GROUP BY term),
+w AS (SELECT p.doc, p.term, p.cnt / p.doc_len::DOUBLE * v.idf AS w FROM p JOIN v ON p.term = v.term)"""
+SEARCH = "the relation of erning and tion hand"
+
+
+def _docs(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", "text")
+
+
+# --- text and similarity ---
+
+
+@query(f"WITH {POSTS} SELECT term, CAST(doc_count AS BIGINT) AS doc_count, CAST(term_count AS BIGINT) AS term_count FROM v")
+def tokenize_counts(spark, sf):
+    p = tfidf.postings(_docs(spark, sf))
+    return p.groupBy("term").agg(F.count("*").alias("doc_count"), F.sum("count").alias("term_count"))
+
+
+@query(f"WITH {POSTS} SELECT term, CAST(doc_count AS BIGINT) AS doc_count, CAST(term_count AS BIGINT) AS term_count, round(idf, 6) AS idf FROM v WHERE term_count >= 2 AND doc_count >= 2")
+def tfidf_vocab(spark, sf):
+    d = _docs(spark, sf)
+    return tfidf.vocabulary(tfidf.postings(d), d.count(), 2, 2).withColumn("idf", F.round("idf", 6))
+
+
+@query(f"WITH {POSTS}, r AS (SELECT doc AS doc_id, term, round(w, 9) AS w FROM w), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, term) AS rank FROM r) SELECT doc_id, CAST(rank AS INTEGER) AS rank, term, round(w, 6) AS w FROM k WHERE rank <= 3")
+def tfidf_topk_terms(spark, sf):
+    return tfidf.top_terms(_docs(spark, sf), 3).select(F.col("doc").alias("doc_id"), "rank", "term", F.round("w", 6).alias("w"))
+
+
+@query(
+    f"""WITH {POSTS}, q0 AS (SELECT list_filter(string_split_regex('{SEARCH}', '[^a-z0-9]+'), lambda x: len(x) >= 2) AS ts), q1 AS (SELECT unnest(ts) AS term, len(ts) AS n FROM q0),
+q AS (SELECT q1.term, count(*) / first(n)::DOUBLE * first(idf) AS qw FROM q1 JOIN v ON q1.term = v.term GROUP BY q1.term),
+s AS (SELECT doc, sum(w * coalesce(qw, 0)) AS dot, sqrt(sum(w * w)) AS norm FROM w LEFT JOIN q ON w.term = q.term GROUP BY doc)
+SELECT doc AS doc_id, round(dot / (norm * (SELECT sqrt(sum(qw * qw)) FROM q)), 6) AS score FROM s WHERE dot > 0 ORDER BY 2 DESC, 1 LIMIT 10"""
+)
+def query_similarity_topk(spark, sf):
+    s = tfidf.similar(_docs(spark, sf), SEARCH).select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+    return s.orderBy(F.desc("score"), "doc_id").limit(10)
+
+
+PAIRS = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS score FROM e a JOIN e b ON a.vec_id < b.vec_id)"
+
+
+@query(f"WITH {PAIRS} SELECT a, b, round(score, 6) AS score FROM c WHERE score >= 0.3")
+def semantic_pairs(spark, sf):
+    return semantic.pairs(read(spark, sf, "embeddings"), 0.3).withColumn("score", F.round("score", 6))
+
+
+@query(
+    f"""WITH {PAIRS}, d AS (SELECT a AS id, b AS partner, round(score, 6) AS score FROM c WHERE score >= 0.3 UNION ALL SELECT b, a, round(score, 6) FROM c WHERE score >= 0.3),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, partner) AS rank FROM d) SELECT id, CAST(rank AS INTEGER) AS rank, partner, score FROM k WHERE rank <= 3"""
+)
+def semantic_topk_per_node(spark, sf):
+    return semantic.top_partners(semantic.pairs(read(spark, sf, "embeddings"), 0.3), 3)
+
+
+@query()
+def semantic_edges_capped(spark, sf):
+    return semantic.semantic_edges(read(spark, sf, "embeddings"), 0.3, 5).withColumn("weight", F.round("weight", 6))
+
+
+@query("SELECT doc_id, CAST(ceil(length(text) / 3.5) AS BIGINT) AS header_tokens FROM documents")
+def token_counts(spark, sf):
+    return _docs(spark, sf).select("doc_id", X.header_tokens(F.col("text")).alias("header_tokens"))
+
+
+@query()
+def word_token_counts(spark, sf):
+    return _docs(spark, sf).select("doc_id", X.token_count(F.col("text")).alias("tokens"))
+
+
+@query("WITH s AS (SELECT doc_id, substring(text, 1, 350) AS s FROM documents), c AS (SELECT doc_id, s, regexp_extract(s, '^([\\s\\S]*\\n)', 1) AS h FROM s) SELECT doc_id, CASE WHEN h <> '' THEN h ELSE s END AS cut FROM c")
+def truncate_to_budget(spark, sf):
+    return _docs(spark, sf).select("doc_id", X.truncate(F.col("text"), 100).alias("cut"))
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(lower(text), 'thing|nation|error')) AS INTEGER) AS score FROM documents WHERE len(regexp_extract_all(lower(text), 'thing|nation|error')) > 0 ORDER BY score DESC, doc_id LIMIT 50")
+def keyword_search(spark, sf):
+    d = _docs(spark, sf).select("doc_id", X.search_score("thing nation error", F.col("text")).alias("score"))
+    return d.where("score > 0").orderBy(F.desc("score"), "doc_id").limit(50)
+
+
+@query("SELECT doc_id, CAST(1 + len(regexp_extract_all(text, '\\b(if|for|while|repeat|tryCatch|switch)\\b', 1)) AS INTEGER) AS complexity FROM documents")
+def complexity(spark, sf):
+    return _docs(spark, sf).select("doc_id", X.complexity(F.col("text")).alias("complexity"))
+
+
+@query(
+    """WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^#''\\s?', ''), '^\\s+|\\s+$', '', 'g')), lambda x: x <> '' AND NOT starts_with(x, '@')) AS g FROM documents)
+SELECT doc_id, coalesce(g[1], '') AS line FROM l"""
+)
+def one_liner(spark, sf):
+    return _docs(spark, sf).select("doc_id", X.one_liner(F.col("text")).alias("line"))
+
+
+# --- edges ---
+
+CALL_NODES = """cn AS (SELECT 'customer/' || c_custkey || '::' || c_name AS id, c_name AS name, n_name AS called FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT 'supplier/' || s_suppkey || '::' || s_name, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT 'nation/' || n_nationkey || '::' || n_name, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'region/' || r_regionkey || '::' || r_name, r_name, NULL FROM region)"""
+
+
+def _call_nodes(spark, sf):
+    nation, region = read(spark, sf, "nation"), read(spark, sf, "region")
+
+    def part(df, table, k, name, called, pos):
+        return df.select(F.concat(F.lit(f"{table}/"), F.col(k).cast("string"), F.lit("::"), F.col(name)).alias("id"), F.col(name).alias("name"), called.alias("calls_list"), (F.lit(pos * 10**12) + F.col(k).cast("long")).alias("node_pos"))
+
+    twice = F.array(F.concat(F.lit("geo::"), F.col("n_name")), F.concat(F.lit("geo::"), F.col("n_name")), F.lit("base::print"))
+    out = part(read(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")), "customer", "c_custkey", "c_name", twice, 2)
+    out = out.union(part(read(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")), "supplier", "s_suppkey", "s_name", twice, 3))
+    out = out.union(part(nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")), "nation", "n_nationkey", "n_name", F.array(F.concat(F.lit("geo:::"), F.col("r_name"))), 1))
+    return out.union(part(region, "region", "r_regionkey", "r_name", F.array().cast("array<string>"), 0))
+
+
+@query(f"WITH {CALL_NODES} SELECT DISTINCT a.id AS src, b.id AS dst, 1.0::DOUBLE AS weight FROM cn a JOIN cn b ON a.called = b.name")
+def call_edges(spark, sf):
+    return edges.call_edges(_call_nodes(spark, sf))
+
+
+@query(
+    """WITH n AS (SELECT 'part:' || p_partkey AS id, p_brand AS name, p_partkey AS pos FROM part), f AS (SELECT name, arg_min(id, pos) AS id FROM n GROUP BY name)
+SELECT DISTINCT 'supplier_' || l_suppkey AS src, f.id AS dst, 1.0::DOUBLE AS weight FROM lineitem JOIN part ON l_partkey = p_partkey JOIN f ON p_brand = f.name"""
+)
+def first_match_edges(spark, sf):
+    part = read(spark, sf, "part")
+    nodes = part.select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_brand").alias("name"), F.col("p_partkey").alias("node_pos"))
+    used = read(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct().join(part, F.col("l_partkey") == F.col("p_partkey"))
+    tests = used.groupBy("l_suppkey").agg(F.array_union(F.collect_set("p_brand"), F.array(F.lit("expect_equal"))).alias("symbols"))
+    return edges.test_edges(nodes, tests.select(F.concat(F.lit("supplier_"), F.col("l_suppkey").cast("string")).alias("stem"), "symbols"))
+
+
+@query(
+    """WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS line FROM pages), m AS (SELECT page_id, unnest(regexp_extract_all(line, 'href="([^"]+)"', 1)) AS dst FROM l)
+SELECT DISTINCT 'page:' || page_id AS src, dst, 1.0::DOUBLE AS weight, 'link' AS source FROM m WHERE dst <> ''"""
+)
+def import_edges_links(spark, sf):
+    lines = read(spark, sf, "pages").select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("src"), F.explode(F.split("html", "\n")).alias("line"))
+    found = lines.select("src", F.explode(F.regexp_extract_all("line", F.lit('href="([^"]+)"'), F.lit(1))).alias("dst"))
+    return found.where("dst <> ''").select("src", "dst", F.lit(1.0).alias("weight"), F.lit("link").alias("source")).distinct()
+
+
+COCHANGE = """c AS (SELECT DISTINCT l_orderkey AS k, p_brand AS f FROM lineitem JOIN part ON l_partkey = p_partkey), t AS (SELECT count(DISTINCT k) AS total FROM c),
+p AS (SELECT a.f AS f1, b.f AS f2, count(*) AS n FROM c a JOIN c b ON a.k = b.k AND a.f < b.f GROUP BY 1, 2),
+m AS (SELECT avg(n) AS lim FROM p), co AS (SELECT f1 AS src, f2 AS dst, least(1.0, n / total::DOUBLE) AS weight FROM p, t, m WHERE n >= ceil(lim) UNION ALL SELECT f2, f1, least(1.0, n / total::DOUBLE) FROM p, t, m WHERE n >= ceil(lim))"""
+
+
+def _cochange(spark, sf):
+    part = read(spark, sf, "part")
+    commits = read(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("commit_id"), F.col("p_brand").alias("file"))
+    nodes = part.select(F.col("p_brand").alias("id"), F.col("p_brand").alias("file")).distinct()
+    rows = commits.distinct()
+    n = rows.alias("a").join(rows.alias("b"), F.expr("a.commit_id = b.commit_id AND a.file < b.file")).groupBy("a.file", "b.file").count()
+    least = int(-(-n.agg(F.avg("count")).first()[0] // 1))  # one number: the mean count, so that the threshold follows the data
+    return edges.cochange_edges(commits, nodes, least)
+
+
+@query(f"WITH {COCHANGE} SELECT src, dst, round(weight, 6) AS weight FROM co")
+def cochange_edges(spark, sf):
+    return _cochange(spark, sf).withColumn("weight", F.round("weight", 6))
+
+
+@query(f"WITH {COCHANGE}, v(b) AS (VALUES ('Brand#11'), ('Brand#22'), ('Brand#33')), u AS (SELECT src AS name, weight FROM co WHERE dst IN (SELECT b FROM v) UNION ALL SELECT dst, weight FROM co WHERE src IN (SELECT b FROM v)) SELECT name, round(avg(weight), 6) AS cochange FROM u GROUP BY name")
+def cochange_score(spark, sf):
+    e = _cochange(spark, sf).withColumn("edge_type", F.lit(S.CO_CHANGES))
+    return relevance.cochange_scores(e, ["Brand#11", "Brand#22", "Brand#33"]).withColumn("cochange", F.round("cochange", 6))
+
+
+@query("WITH n AS (SELECT 'part:' || p_partkey AS id, p_type AS name, p_partkey AS pos FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY pos) AS rn, first_value(id) OVER (PARTITION BY name ORDER BY pos) AS dst FROM n) SELECT id AS src, dst, 1.0::DOUBLE AS weight FROM r WHERE rn > 1")
+def dispatch_edges(spark, sf):
+    nodes = read(spark, sf, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_type").alias("name"), F.col("p_partkey").alias("node_pos"))
+    return edges.dispatch_edges(nodes, nodes.select("name"))
+
+
+@query(f"WITH {FK_SQL}, n AS (SELECT name FROM fk_nodes WHERE file <> 'part') SELECT src, dst, weight, 'CALLS' AS edge_type FROM fk_edges WHERE src IN (SELECT name FROM n) AND dst IN (SELECT name FROM n)")
+def assemble_edges(spark, sf):
+    nodes = fk_nodes(spark, sf).where("file <> 'part'")
+    return edges.assemble(nodes, CALLS=fk_edges(spark, sf))
+
+
+@query(f"WITH {FK_SQL} SELECT file AS kind, count(*) AS n FROM fk_nodes GROUP BY file")
+def node_type_counts(spark, sf):
+    return context.counts(fk_nodes(spark, sf), "file").withColumnRenamed("file", "kind")
+
+
+@query(f"WITH {FK_SQL} SELECT 'CALLS' AS edge_type, count(*) AS n FROM fk_edges")
+def edge_type_counts(spark, sf):
+    return context.counts(fk_edges(spark, sf), "edge_type")
+
+
+# --- graph algorithms ---
+
+TRADE = """tr AS (SELECT c_nationkey AS s, s_nationkey AS d, count(*)::DOUBLE AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey < 20 GROUP BY 1, 2),
+sh AS (SELECT s, d, w / sum(w) OVER (PARTITION BY s) AS share FROM tr), nn AS (SELECT n_nationkey AS k, k IN (SELECT s FROM tr) AS has FROM nation), p0 AS MATERIALIZED (SELECT k, has, 1.0 / count(*) OVER () AS p FROM nn)"""
+
+
+def _rank_sql(rounds: int) -> str:
+    steps = ", ".join(f"p{i} AS MATERIALIZED (SELECT n.k, n.has, 0.15 / (SELECT count(*) FROM nn) + 0.85 * (coalesce(g.x, 0) + (SELECT coalesce(sum(p), 0) FROM p{i - 1} WHERE NOT has) / (SELECT count(*) FROM nn)) AS p FROM nn n LEFT JOIN (SELECT d, sum(p * share) AS x FROM sh JOIN p{i - 1} ON s = k GROUP BY d) g ON g.d = n.k)" for i in range(1, rounds + 1))
+    return f"WITH {TRADE}, {steps} SELECT 'nation:' || k AS name, round(p, 8) AS pagerank FROM p{rounds}"
+
+
+def _trade(spark, sf):
+    lines = read(spark, sf, "lineitem").join(read(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).where("s_nationkey < 20")
+    nation = lambda c: F.concat(F.lit("nation:"), F.col(c).cast("string"))
+    return lines.groupBy(nation("c_nationkey").alias("src"), nation("s_nationkey").alias("dst")).agg(F.count("*").cast("double").alias("weight")).withColumn("edge_type", F.lit(S.CALLS))
+
+
+@query(_rank_sql(20))
+def pagerank(spark, sf):
+    nodes = read(spark, sf, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("name"))
+    return graph.pagerank(nodes, _trade(spark, sf), iterations=20, tolerance=0.0).withColumn("pagerank", F.round("pagerank", 8))
+
+
+@query(_rank_sql(5))
+def pagerank_distributed(spark, sf):
+    nodes = read(spark, sf, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("name"))
+    return graph.pagerank(nodes, _trade(spark, sf), iterations=5, tolerance=0.0, small=-1).withColumn("pagerank", F.round("pagerank", 8))
+
+
+@query(
+    f"""WITH RECURSIVE {FK_SQL}, walk(name, d) AS (SELECT name, 0 FROM fk_nodes WHERE file = 'supplier' UNION SELECT dst, d + 1 FROM walk JOIN fk_edges ON src = walk.name WHERE d < 6), m AS (SELECT name, min(d) AS d FROM walk GROUP BY name)
+SELECT n.name, CAST(coalesce(m.d, 99) AS INTEGER) AS api_depth FROM fk_nodes n LEFT JOIN m ON n.name = m.name"""
+)
+def api_depth(spark, sf):
+    nodes = fk_nodes(spark, sf)
+    return graph.depths(nodes, fk_edges(spark, sf), nodes.where("file = 'supplier'"))
+
+
+@query(f"WITH {FK_SQL} SELECT name FROM fk_nodes WHERE name NOT IN (SELECT dst FROM fk_edges)")
+def entry_points_zero_indegree(spark, sf):
+    return graph.entry_points(fk_nodes(spark, sf).withColumn("scope_level", F.lit(0)), fk_edges(spark, sf))
+
+
+@query(f"WITH {FK_SQL} SELECT name FROM fk_nodes WHERE regexp_replace(name, '^.*::', '') IN (SELECT 'nation:' || n_nationkey FROM nation WHERE n_regionkey = 2)")
+def entry_points_exported(spark, sf):
+    exported = read(spark, sf, "nation").where("n_regionkey = 2").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("name"))
+    return graph.entry_points(fk_nodes(spark, sf).withColumn("scope_level", F.lit(0)), fk_edges(spark, sf), "package", exported)
+
+
+@query(f"WITH {FK_SQL}, d AS (SELECT dst, count(*) AS n FROM fk_edges GROUP BY dst) SELECT name, CAST(coalesce(n, 0) AS BIGINT) AS n FROM fk_nodes LEFT JOIN d ON name = dst")
+def in_degrees(spark, sf):
+    return graph.in_degree(fk_nodes(spark, sf), fk_edges(spark, sf), S.CALLS)
+
+
+@query(f"WITH {FK_SQL} SELECT DISTINCT dst AS name, src AS neighbour FROM fk_edges WHERE dst IN ('nation:3', 'supplier:7')")
+def callers(spark, sf):
+    return graph.neighbours(fk_edges(spark, sf), ["nation:3", "supplier:7"], "in")
+
+
+@query(f"WITH {FK_SQL} SELECT DISTINCT src AS name, dst AS neighbour FROM fk_edges WHERE src IN ('orders:7', 'customer:12')")
+def callees(spark, sf):
+    return graph.neighbours(fk_edges(spark, sf), ["orders:7", "customer:12"])
+
+
+@query(
+    f"""WITH {FK_SQL}, r AS (SELECT 'customer:' || c_custkey AS name, c_acctbal AS pr FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, s_acctbal FROM supplier),
+h AS (SELECT name FROM r ORDER BY pr DESC, name LIMIT 15), k AS (SELECT name FROM h UNION SELECT dst FROM fk_edges WHERE src IN (SELECT name FROM h) UNION SELECT src FROM fk_edges WHERE dst IN (SELECT name FROM h))
+SELECT src, dst, weight FROM fk_edges WHERE src IN (SELECT name FROM k) AND dst IN (SELECT name FROM k)"""
+)
+def neighborhood_subgraph(spark, sf):
+    ranks = read(spark, sf, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("name"), F.col("c_acctbal").alias("pagerank")).union(read(spark, sf, "supplier").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")), "s_acctbal"))
+    nodes = fk_nodes(spark, sf).join(ranks, "name", "left")
+    return graph.hub_subgraph(nodes, fk_edges(spark, sf))[1].select("src", "dst", "weight")
+
+
+# --- relevance, traversal, rendering ---
+
+SUPPLIER_NODES = "sn AS (SELECT 'supplier:' || s_suppkey AS name, s_acctbal AS pr, CASE WHEN s_nationkey % 5 = 0 THEN 99 ELSE s_nationkey % 5 END AS depth, (s_suppkey % 10) / 10.0::DOUBLE AS tw, s_suppkey AS pos FROM supplier)"
+
+
+def _supplier_nodes(spark, sf):
+    d = F.col("s_nationkey") % 5
+    return read(spark, sf, "supplier").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("name"), F.lit(S.FUNCTION).alias("node_type"), F.col("s_acctbal").alias("pagerank"), F.when(d == 0, 99).otherwise(d).alias("api_depth"), ((F.col("s_suppkey") % 10) / 10).alias("task_trace_weight"), (d == 1).alias("entry_point"), F.col("s_suppkey").alias("node_pos"))
+
+
+@query(
+    f"""WITH {SUPPLIER_NODES}, m AS (SELECT min(pr) AS lo, max(pr) AS hi FROM sn) SELECT name, round(0.15 * CASE WHEN depth >= 99 THEN 0.5 ELSE 1 / (1 + 0.2 * depth) END + 0.15 * tw + 0.10 * CASE WHEN hi > lo THEN (pr - lo) / (hi - lo) ELSE 0.5 END, 6) AS score FROM sn, m"""
+)
+def relevance_scores(spark, sf):
+    return relevance.scores(_supplier_nodes(spark, sf)).select("name", F.round("score", 6).alias("score"))
+
+
+@query("WITH m AS (SELECT min(s_acctbal) AS lo, max(s_acctbal) AS hi FROM supplier) SELECT s_suppkey, round(CASE WHEN hi > lo THEN (s_acctbal - lo) / (hi - lo) ELSE 0.5 END, 6) AS signal FROM supplier, m")
+def minmax_pagerank(spark, sf):
+    s = read(spark, sf, "supplier")
+    m = s.agg(F.min("s_acctbal").alias("lo"), F.max("s_acctbal").alias("hi"))
+    return s.crossJoin(F.broadcast(m)).select("s_suppkey", F.round(relevance.pagerank_signal(F.col("s_acctbal"), F.col("lo"), F.col("hi")), 6).alias("signal"))
+
+
+@query(f"WITH {SUPPLIER_NODES} SELECT name FROM sn WHERE depth = 1 ORDER BY pr DESC, pos LIMIT 1")
+def seed_selection(spark, sf):
+    return relevance.seed(_supplier_nodes(spark, sf))
+
+
+@query()
+def query_context_nodes(spark, sf):
+    fk = fk_nodes(spark, sf)
+    kept = fk.where("file IN ('region', 'nation', 'customer', 'supplier')")
+    e = fk_edges(spark, sf)
+    nodes = kept.select("name", (F.lit(0.15) + F.pmod(F.xxhash64("name"), F.lit(100)) / 200).alias("static"), X.header_tokens(F.concat("name", "signature")).alias("cost"), (X.header_tokens(F.concat("name", "signature")) * 3).alias("full_cost"), "node_pos")
+    starts = read(spark, sf, "nation").select(F.concat(F.lit("q"), F.col("n_nationkey").cast("string")).alias("query_id"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("start"))
+    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", "edge_type").where("src LIKE 'nation:%' AND dst LIKE 'supplier:%'")
+    geo = e.where("src LIKE 'nation:%'").union(back)
+    return relevance.query_contexts(starts, nodes, geo, budget=120, max_nodes=8)
+
+
+@query(
+    f"""WITH {FK_SQL}, e AS (SELECT DISTINCT src, dst FROM fk_edges WHERE src LIKE 'nation:%' OR src LIKE 'supplier:%'), o AS (SELECT src AS name, string_agg(dst, ', ' ORDER BY dst) AS c FROM e GROUP BY src), i AS (SELECT dst AS name, string_agg(src, ', ' ORDER BY src) AS c FROM e GROUP BY dst)
+SELECT n.name, concat_ws(chr(10), n.signature, 'Calls: ' || o.c, 'Called by: ' || i.c) AS context FROM fk_nodes n LEFT JOIN o ON n.name = o.name LEFT JOIN i ON n.name = i.name WHERE n.file IN ('region', 'nation', 'supplier')"""
+)
+def node_context_compressed(spark, sf):
+    nodes = fk_nodes(spark, sf).where("file IN ('region', 'nation', 'supplier')").withColumn("roxygen_text", F.lit(None).cast("string"))
+    e = fk_edges(spark, sf).where("src LIKE 'nation:%' OR src LIKE 'supplier:%'")
+    return context.compressed_context(nodes, e)
+
+
+@query("SELECT 'supplier:' || s_suppkey AS name, s_acctbal AS pagerank FROM supplier ORDER BY s_acctbal DESC, name LIMIT 15")
+def top_functions_report(spark, sf):
+    return context.top_functions(_supplier_nodes(spark, sf))
+
+
+@query(
+    r"""WITH n AS (SELECT replace(lower(p_name), ' ', '_') AS name FROM part), a AS (SELECT count(*) AS n, avg(CASE WHEN regexp_matches(name, '^[a-z][a-z0-9]*(_[a-z0-9]+)+$') THEN 1 ELSE 0 END) AS snake, avg(CASE WHEN regexp_matches(name, '^[a-z][a-z0-9]*(\.[a-z0-9]+)+$') THEN 1 ELSE 0 END) AS dot, avg(CASE WHEN regexp_matches(name, '^[a-z]+([A-Z][a-z0-9]*)+$') THEN 1 ELSE 0 END) AS camel FROM n)
+SELECT n, round(snake, 6) AS snake, round(dot, 6) AS dot, round(camel, 6) AS camel, CASE WHEN n <= 5 THEN 'unknown' WHEN snake > 0.4 THEN 'snake_case' WHEN dot > 0.4 THEN 'dot.case' WHEN camel > 0.2 THEN 'camelCase' ELSE 'mixed' END AS style FROM a"""
+)
+def naming_conventions(spark, sf):
+    c = context.conventions(read(spark, sf, "part").select(F.replace(F.lower("p_name"), F.lit(" "), F.lit("_")).alias("name")))
+    return c.select("n", F.round("snake", 6).alias("snake"), F.round("dot", 6).alias("dot"), F.round("camel", 6).alias("camel"), "style")
+
+
+# --- feedback ---
+
+NOW = "2024-01-31 00:00:00"
+
+
+def _traces(spark, sf):
+    e = read(spark, sf, "events")
+    return e.select(F.col("event_id").alias("line_no"), F.col("user_id").cast("string").alias("session_id"), F.col("ts").alias("created_at"), F.array("event_type").alias("nodes"), (F.col("value") / 250 - 1).alias("polarity"))
+
+
+@query(
+    f"""WITH d AS (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) AS k FROM events), s AS (SELECT event_type AS name, sum(pow(2.0, -greatest(0.0, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts)) / 86400e6) / 30) * (1 + least(1.0, greatest(-1.0, value / 250 - 1)))) AS acc FROM d WHERE k = 1 GROUP BY event_type)
+SELECT name, round(acc / max(acc) OVER (), 6) AS weight FROM s"""
+)
+def task_trace_weights(spark, sf):
+    t = feedback.keep_first(_traces(spark, sf), ["session_id", "created_at"], ["line_no"])
+    nodes = read(spark, sf, "events").select(F.col("event_type").alias("name")).distinct()
+    return feedback.trace_weights(nodes, t, NOW).withColumn("weight", F.round("weight", 6))
+
+
+@query("SELECT c_custkey, round(least(1.0, greatest(0.0, CASE WHEN c_mktsegment = 'BUILDING' THEN (c_acctbal / 10000 * 0.99) * (1 - 0.3) + 0.3 ELSE c_acctbal / 10000 * 0.99 END)), 6) AS weight FROM customer")
+def ema_weights(spark, sf):
+    return read(spark, sf, "customer").select("c_custkey", F.round(feedback.ema(F.col("c_acctbal") / 10000, F.col("c_mktsegment") == "BUILDING"), 6).alias("weight"))
+
+
+@query("WITH h AS (SELECT event_id, row_number() OVER (ORDER BY event_id DESC) AS k FROM events WHERE event_type = 'click') SELECT e.event_id AS line_no, round(CASE WHEN k <= 3 THEN 0.75 ELSE value / 250 - 1 END, 6) AS polarity FROM events e LEFT JOIN h ON e.event_id = h.event_id")
+def polarity_rewrite(spark, sf):
+    return feedback.rewrite_polarity(_traces(spark, sf), ["click"], 0.75).select("line_no", F.round("polarity", 6).alias("polarity"))
+
+
+@query("WITH u AS (SELECT user_id, CAST(ts AS DATE) AS d, event_id FROM events UNION ALL SELECT user_id, CAST(ts AS DATE), event_id + 1000000 FROM events) SELECT user_id, min(event_id) AS event_id, CAST(count(*) AS BIGINT) AS copies FROM u GROUP BY user_id, d")
+def trace_dedup(spark, sf):
+    e = read(spark, sf, "events").select("user_id", F.to_date("ts").alias("d"), "event_id")
+    u = e.union(e.select("user_id", "d", F.col("event_id") + 1000000))
+    first = feedback.keep_first(u, ["user_id", "d"], ["event_id"])
+    return first.join(u.groupBy("user_id", "d").agg(F.count("*").alias("copies")), ["user_id", "d"]).select("user_id", "event_id", "copies")
+
+
+@query("SELECT md5(CAST(o_orderkey AS VARCHAR)) || '00000000' AS commit_id, 'R/f' || CAST(l_partkey % 50 AS VARCHAR) || '.R' AS file FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
+def commit_log_parse(spark, sf):
+    commit = F.concat(F.md5(F.col("o_orderkey").cast("string")), F.lit("00000000"))
+    o, li = read(spark, sf, "orders"), read(spark, sf, "lineitem")
+    head = o.select(F.pmod("o_orderkey", F.lit(64)).alias("log"), F.posexplode(F.array(commit, F.lit(""))).alias("i", "line"), F.col("o_orderkey").alias("o")).select("log", (F.col("o") * 100 + F.col("i")).alias("line_no"), "line")
+    body = li.select(F.pmod("l_orderkey", F.lit(64)).alias("log"), (F.col("l_orderkey") * 100 + 10 + F.col("l_linenumber")).alias("line_no"), F.concat(F.lit("R/f"), (F.col("l_partkey") % 50).cast("string"), F.lit(".R")).alias("line"))
+    return edges.parse_log(head.union(body.join(o.select(F.col("o_orderkey").alias("ok")), F.expr("cast((line_no - 10) / 100 as bigint) = ok"), "left_semi")))
+
+
+@query("SELECT event_type AS name, count(*) AS n, count(DISTINCT user_id) AS sessions FROM events GROUP BY event_type")
+def session_stream_counts(spark, sf):
+    return stream.replayed_counts(spark, f"{sf}/events.parquet")
+
+
+# --- incremental maintenance, export ---
+
+
+@query(f"WITH {FK_SQL} SELECT src, dst, weight FROM fk_edges WHERE src NOT LIKE 'part:%'")
+def incremental_update(spark, sf):
+    nodes, e = fk_nodes(spark, sf), fk_edges(spark, sf)
+    left_nodes, left_edges = graph.without_files(nodes, e, ["nation"])
+    back = nodes.where("file = 'nation'")
+    new = e.where("src LIKE 'nation:%' OR dst LIKE 'nation:%'")
+    return graph.with_nodes(left_nodes, left_edges, back, new)[1].select("src", "dst", "weight")
+
+
+@query("SELECT vec_id, '[' || array_to_string(list_transform(embedding[1:4], lambda x: CAST(CAST(round(x * 1000) AS INTEGER) AS VARCHAR)), ',') || ']' AS embedding FROM embeddings")
+def export_nodes_json(spark, sf):
+    return read(spark, sf, "embeddings").select("vec_id", F.to_json(F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x * 1000).cast("int"))).alias("embedding"))
+
+
+@query(f"WITH {FK_SQL} SELECT a.signature AS caller, b.signature AS callee, CAST(sum(weight) AS BIGINT) AS n FROM fk_edges JOIN fk_nodes a ON src = a.name JOIN fk_nodes b ON dst = b.name WHERE b.file = 'region' GROUP BY 1, 2 ORDER BY n DESC, caller LIMIT 20")
+def sql_surface(spark, sf):
+    fk_nodes(spark, sf).createOrReplaceTempView("nodes")
+    fk_edges(spark, sf).createOrReplaceTempView("edges")
+    return spark.sql("SELECT a.signature AS caller, b.signature AS callee, CAST(sum(weight) AS BIGINT) AS n FROM edges JOIN nodes a ON src = a.name JOIN nodes b ON dst = b.name WHERE b.file = 'region' GROUP BY 1, 2 ORDER BY n DESC, caller LIMIT 20")
+
+
+@query("WITH h AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) SELECT conv_id, CAST(least(n, 3) - k + 1 AS INTEGER) AS no, text FROM h WHERE k <= 3")
+def recent_history(spark, sf):
+    c = read(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("h"))
+    last = c.select("conv_id", F.when(F.size("h") > 3, F.slice("h", -3, 3)).otherwise(F.col("h")).alias("h"))
+    return last.select("conv_id", F.posexplode("h").alias("i", "t")).select("conv_id", (F.col("i") + 1).alias("no"), F.col("t.text").alias("text"))

@@ -1,4 +1,4 @@
-"""Makes this package importable in the executors' Python workers."""
+"""Session plumbing: the package for the executors, tables in the shared folder, the driver's tables."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -30,3 +31,36 @@ def ship(spark: SparkSession) -> None:
                     out.write(full, os.path.join("loomgraph", os.path.relpath(full, here)))
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; one of our own only where that is unset (tests, local mode)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = tempfile.mkdtemp(prefix="loomgraph-shared-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """Cuts lineage: writes df to the shared folder as Parquet and reads it again."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/loomgraph-tables/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.loomgraph_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a table made by written(), once nothing that is still to run reads it."""
+    path = getattr(df, "loomgraph_path", None)
+    if path:
+        spark = df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
