@@ -2,60 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.session import ship
+from loomgraph.session import forget, read, shared_dir, written
+
+__all__ = ["chunks", "doc_ids", "forget", "pieces", "plan_bytes", "read", "shared_dir", "utf8_buffers", "written"]
 
 #: Text handed to one vectorised step; bounds the scratch arrays of a Python worker.
 CHUNK_BYTES = 4 << 20
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset (tests, local mode)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="loomgraph-shared-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def table_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/loomgraph-tables/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts lineage: writes df to the shared folder as Parquet and reads it again."""
-    spark = df.sparkSession
-    path = table_path(spark, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.loomgraph_path = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes a table made by written(), once nothing that is still to run reads it."""
-    path = getattr(df, "loomgraph_path", None)
-    if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def plan_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of input for choosing numbers of partitions: the optimizer's estimate, or a count where it has none."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
