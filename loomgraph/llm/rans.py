@@ -35,6 +35,8 @@ from loomgraph.llm.shared import doc_ids, written
 from loomgraph.llm.windows import pack, unpack
 
 PRECISION, BLOCK, LANES, CHECKPOINT = 20, 1 << 16, 32, 512
+#: Bytes of text that are encoded together: less than operator 8 takes, as workers also code blocks.
+GROUP_BYTES = 12 << 20
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 ROW = "part int, block int, n_tokens int, doc_id array<long>, doc_tokens array<int>, doc_first array<int>, n_words int, stream binary, states binary, checkpoints binary, crc array<long>"
@@ -165,7 +167,7 @@ def _tokens(encoder):
         enc = encoder.value
         kind = np.uint16 if enc.size < 1 << 16 else np.uint32
         counts = np.zeros(enc.size, np.int64)
-        for group in grouped(batches):
+        for group in grouped(batches, GROUP_BYTES):
             for batch, (ids, off) in zip(group, enc.texts([b.column("text") for b in group])):
                 counts += np.bincount(ids, minlength=enc.size)
                 raw = ids.astype(kind)
@@ -187,7 +189,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["id", "n"])
 
 
-def _blocks(freq, wide: bool, block: int, group: int = 160):
+def _blocks(freq, wide: bool, block: int, group: int = 48):
     kind = np.uint32 if wide else np.uint16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
