@@ -85,9 +85,14 @@ def train(texts: pa.Array, toxic: np.ndarray, rare: int = RARE, epochs: int = EP
     positive = toxic == 1
     if not positive.any() or positive.all():
         return Model(np.empty(0, np.uint64), np.empty(0), -1e9)
-    h, of, sent_off = sentences(texts)[:3]
-    n, n_sent = len(texts), int(sent_off[-1])
-    rows = np.repeat(np.arange(n), np.diff(sent_off))
+    parts, counts, n, n_sent = [], [], len(texts), 0
+    for batch in chunks(iter([pa.RecordBatch.from_arrays([texts], names=["text"])])):
+        h, of, sent_off = sentences(batch.column("text"))[:3]
+        parts.append((h, of + n_sent))
+        counts.append(np.diff(sent_off))
+        n_sent += int(sent_off[-1])
+    h, of = map(np.concatenate, zip(*parts))
+    rows = np.repeat(np.arange(n), np.concatenate(counts))
     names, index = np.unique(h, return_inverse=True)
     seen = np.unique(rows[of] * len(names) + index)
     n_all = np.bincount(seen % len(names), minlength=len(names))
