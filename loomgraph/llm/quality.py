@@ -37,8 +37,8 @@ from loomgraph.llm import textscan
 from loomgraph.llm.shared import chunks, utf8_buffers, written
 
 H, STEPS, LEAST = 0.75, 8, 50
-#: About the 1 - 2e-8 quantile of chi-square with D degrees of freedom.
-CUTOFF = 45.0
+#: Far beyond chi-square: short clean texts with a key or a number in capitals reach 56, junk has 80 and more.
+CUTOFF = 60.0
 D = 5
 #: Bytes (or words) with which shares are drawn to CENTRE, and the variance that is added to each statistic.
 PRIOR = (300.0, 300.0, 300.0, 40.0, 40.0)
