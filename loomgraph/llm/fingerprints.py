@@ -45,8 +45,8 @@ for _a, _b in ((48, 58), (65, 91), (97, 123)):
     GAP[_a:_b] = False
 
 
-def _golay() -> tuple[np.ndarray, np.ndarray]:
-    """The syndrome of each 23-bit word's low and high part, and the pattern of weight 3 at most of each syndrome."""
+def _golay() -> np.ndarray:
+    """The syndrome of each 23-bit word: the remainder modulo the generator."""
     remainder = np.zeros(23, np.int64)
     for i in range(23):
         r = 1 << i
