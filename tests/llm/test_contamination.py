@@ -76,3 +76,21 @@ def test_empty(data, spark):
     assert c.report(df.where("doc_id < 0"), bench).collect() == []
     assert c.report(df, bench.where("item_id < 0")).collect() == []
     assert c.cleaned(df, bench.where("item_id < 0")).count() == df.count()
+
+
+@pytest.mark.parametrize("action", ["span", "document"])
+def test_cleaned_of_a_large_benchmark(data, action):
+    _, items, df, bench = data
+    rows = lambda most: sorted(map(repr, c.cleaned(df, bench, action=action, most_grams=most).collect()))
+    assert rows(1) == rows(c.MOST_GRAMS)
+    assert c.cleaned(df, bench.where("item_id < 0"), action=action, most_grams=-1).count() == df.count()
+
+
+def test_n_grams_are_counted(data):
+    _, items, _, bench = data
+    want = {}
+    for item, text in {(i, t) for i, t in items if i is not None and t is not None}:
+        ws = words(text)
+        if len(ws) >= c.SHORTEST:
+            want[min(c.N, len(ws))] = want.get(min(c.N, len(ws)), 0) + max(1, len(ws) - c.N + 1)
+    assert c._sizes(c._plain_items(bench), c.N) == want
