@@ -65,7 +65,7 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def places(hashes: np.ndarray, docs: np.ndarray, pos: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, packed) of hashes with their places; the places of a row ascend, as those given do."""
+    """Rows (bucket, packed) of hashes with their places; the places of a row are in the order given, positions within a run of a document ascending."""
     if not len(hashes):
         return
     b = bucket_of(hashes, buckets)
@@ -78,11 +78,12 @@ def places(hashes: np.ndarray, docs: np.ndarray, pos: np.ndarray, buckets: int)
             i, j = cut[k], cut[k + 1]
             if i == j:
                 continue
-            d = docs[i:j]
-            new = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+            d, p = docs[i:j], pos[i:j]
+            # repeated rows of a document begin at its first positions again: steps don't go back within a run
+            new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (p[1:] <= p[:-1])])
             runs = np.diff(np.r_[new, j - i]).astype(np.uint32)
-            step = np.diff(np.r_[0, pos[i:j]])
-            step[new] = pos[i:j][new]
+            step = np.diff(np.r_[0, p])
+            step[new] = p[new]
             if step.max(initial=0) < 1 << 16:
                 step = step.astype(np.uint16)
             keys.append(k)

@@ -67,6 +67,24 @@ def test_files_of_a_large_block(documents, rng):
     assert got == brute(rows, 15)
 
 
+@pytest.mark.parametrize("operator", [windows.repeated_spans, suffixes.repeated_spans])
+def test_adjacent_repeated_rows(documents, rng, operator):
+    twice, shared = sentence(rng, 40), sentence(rng, 20)
+    rows = [(1, twice), (1, twice), (1, twice), (2, shared + " x"), (2, shared + " x"), (3, "y " + shared)]
+    got = [tuple(r) for r in operator(documents(rows, 1), length=15).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == brute(rows, 15)
+    assert not any(d == 1 for d, *_ in got)
+
+
+def test_places_of_repeated_rows():
+    h, d, p = np.arange(6, dtype=np.uint64), np.array([7, 7, 7, 7, 8, 8]), np.array([3, 7, 3, 7, 1, 70000])
+    (batch,) = windows.places(h, d, p, 1)
+    assert [x.tolist() for x in windows.unplaced(batch.column("packed").to_pylist())] == [h.tolist(), d.tolist(), p.tolist()]
+    (batch,) = windows.places(h[:4], d[:4], p[:4], 1)
+    assert windows.unplaced(batch.column("packed").to_pylist())[2].tolist() == [3, 7, 3, 7]
+
+
 @pytest.mark.parametrize("operator", [windows.repeated_spans, suffixes.repeated_spans])
 def test_empty_table(documents, operator):
     assert operator(documents([(1, "a")]).where("doc_id < 0")).collect() == []
