@@ -12,7 +12,7 @@ fixed).  No shuffle.
 
 Defined cases: null and empty texts have no tokens; special tokens in a text are ordinary text; rows with a null doc_id
 and repeated rows are encoded like others; an empty table gives no rows; encode() returns doc_id, n_bytes, n_tokens,
-tokens, round_trip; encoded() adds columns `tokens`, `n_tokens` to all columns of docs (in place of ones so named).
+tokens, round_trip; encoded() adds columns `tokens`, `n_tokens` to all columns of docs, in place of ones so named in any case.
 """
 
 from __future__ import annotations
@@ -30,11 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.llm import textscan
-from loomgraph.llm.shared import chunks, utf8_buffers
+from loomgraph.llm.shared import chunks, give_back, utf8_buffers
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bytes of text whose pieces are encoded together.
-GROUP_BYTES = 24 << 20
+GROUP_BYTES = 6 << 20
+
+#: Columns that encoded() adds.
+ADDED = ("tokens", "n_tokens")
 
 BLANK, LETTER, DIGIT, OTHER = 0, 1, 2, 3
 _classes: np.ndarray | None = None
@@ -145,9 +148,9 @@ class Encoder:
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The token that a and b merge to, or -1."""
-        key = a << 20 | b
+        key = a.astype(np.int64) << 20 | b
         slot = self._slot(key)
-        out = np.full(len(key), -1, np.int64)
+        out = np.full(len(key), -1, np.int32)
         left = np.arange(len(key))
         while len(left):
             found = self.keys[slot]
@@ -160,9 +163,9 @@ class Encoder:
     def pieces(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of the pieces data[off[i]:off[i + 1]], one after the other, and their offsets."""
         n = len(data)
-        symbol = self.bytes[data]
-        piece = np.repeat(np.arange(len(off) - 1), np.diff(off))
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        symbol = self.bytes[data].astype(np.int32)
+        piece = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[off[1:][np.diff(off) > 0] - 1] = -1
         before[off[:-1][np.diff(off) > 0]] = -1
         index: dict[int, list[np.ndarray]] = {}
@@ -188,7 +191,7 @@ class Encoder:
                 else:
                     have.append(part)
 
-        at = np.flatnonzero(after >= 0)
+        at = np.flatnonzero(after >= 0).astype(np.int32)
         add(at, self.rank(symbol[at], symbol[at + 1]))
         while active:
             rank = heapq.heappop(active)
@@ -217,7 +220,7 @@ class Encoder:
             if len(new):
                 add(new, self.rank(symbol[new], symbol[after[new]]))
         kept = np.flatnonzero(symbol >= 0)
-        return symbol[kept].astype(np.int32), np.searchsorted(kept, off)
+        return symbol[kept], np.searchsorted(kept, off)
 
     def decode(self, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of the tokens, and the offsets of rows in them."""
@@ -226,31 +229,32 @@ class Encoder:
         flat = np.arange(ends[-1]) + np.repeat(self.token_off[ids] - ends[:-1], size)
         return self.token_bytes[flat], ends[off]
 
-    def texts(self, columns: list[pa.Array]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids and offsets of the rows of each string column; pieces that occur in several are encoded once."""
+    def texts(self, columns: list[pa.Array]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids and offsets of the rows of each string column in turn; pieces that occur in several are encoded once."""
         parts, begins, base = [], [], 0
         for column in columns:
             data, off = utf8_buffers(column)
             start, piece_off = cut(data, off)
             size = np.diff(np.r_[start, len(data)])
-            parts.append((data, textscan.span_hash(data, start, start + size), size, piece_off))
-            begins.append(start + base)
+            parts.append((data, textscan.span_hash(data, start, start + size), size.astype(np.int32), piece_off))
+            begins.append((start + base).astype(np.int32))
             base += len(data)
         code, names = pd.factorize(np.concatenate([h for _, h, _, _ in parts]))
-        first = np.empty(len(names), np.int64)
-        first[code[::-1]] = np.arange(len(code))[::-1]
+        code = code.astype(np.int32)
+        first = np.empty(len(names), np.int32)
+        first[code[::-1]] = np.arange(len(code), dtype=np.int32)[::-1]
         begin, size = np.concatenate(begins)[first], np.concatenate([s for _, _, s, _ in parts])[first]
-        ends = np.r_[0, np.cumsum(size)]
+        del begins
+        ends = np.r_[0, np.cumsum(size, dtype=np.int64)]
         data = np.concatenate([d for d, _, _, _ in parts])
         ids, off = self.pieces(data[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], size)], ends)
-        n, at, out = np.diff(off), 0, []
+        n, at = np.diff(off), 0
         for _, h, _, piece_off in parts:
             which = code[at : at + len(h)]
             at += len(h)
             ends = np.r_[0, np.cumsum(n[which])]
             flat = np.arange(ends[-1]) + np.repeat(off[which] - ends[:-1], n[which])
-            out.append((ids[flat], ends[piece_off]))
-        return out
+            yield ids[flat], ends[piece_off]
 
 
 def grouped(batches: Iterator[pa.RecordBatch], size: int = GROUP_BYTES) -> Iterator[list[pa.RecordBatch]]:
@@ -277,7 +281,7 @@ def _encode(encoder, whole: bool):
             for batch, (ids, off) in zip(group, enc.texts([b.column("text") for b in group])):
                 count = pa.array(np.diff(off), pa.int32())
                 if whole:
-                    names = [n for n in batch.schema.names if n not in ("tokens", "n_tokens")]
+                    names = [n for n in batch.schema.names if n.lower() not in ADDED]
                     yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], lists(ids, off), count], names=[*names, "tokens", "n_tokens"])
                     continue
                 data, row = utf8_buffers(batch.column("text"))
@@ -289,6 +293,7 @@ def _encode(encoder, whole: bool):
                 else:
                     same = np.array([back[back_off[i] : back_off[i + 1]].tobytes() == data[row[i] : row[i + 1]].tobytes() for i in range(len(same))])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(row), pa.int64()), count, lists(ids, off), pa.array(same)], names=["doc_id", "n_bytes", "n_tokens", "tokens", "round_trip"])
+        give_back()
 
     return run
 
@@ -305,22 +310,20 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """docs with columns tokens and n_tokens."""
-    fields = [f for f in docs.schema.fields if f.name not in ("tokens", "n_tokens")]
+    fields = [f for f in docs.schema.fields if f.name.lower() not in ADDED]
     schema = T.StructType([*fields, T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType())])
     return docs.mapInArrow(_encode(_broadcast(docs, vocabulary), True), schema)
 
 
-def _decode(encoder):
+def _decode(encoder, tokens_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = batch.column("tokens")
+            tokens = batch.column(tokens_at)
             n = np.asarray(pc.list_value_length(tokens).fill_null(0)).astype(np.int64)
             ids = np.asarray(tokens.flatten()).astype(np.int64)
             data, off = encoder.value.decode(ids, np.r_[0, np.cumsum(n)])
-            raw = data.tobytes()
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(off[:-1], off[1:])]
-            at = batch.schema.get_field_index("tokens")
-            yield batch.remove_column(at).append_column("text", pa.array(texts, pa.string()))
+            texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(off[:-1], off[1:])]
+            yield batch.remove_column(tokens_at).append_column("text", pa.array(texts, pa.string()))
 
     return run
 
@@ -328,5 +331,7 @@ def _decode(encoder):
 def decoded(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """The rows with the text of their tokens (null: empty) as column text, in place of tokens and any text."""
     tokens = tokens.drop("text")
-    schema = T.StructType([*[f for f in tokens.schema.fields if f.name != "tokens"], T.StructField("text", T.StringType())])
-    return tokens.mapInArrow(_decode(_broadcast(tokens, vocabulary)), schema)
+    names = [c.lower() for c in tokens.columns]
+    fields = [f for f, name in zip(tokens.schema.fields, names) if name != "tokens"]
+    schema = T.StructType([*fields, T.StructField("text", T.StringType())])
+    return tokens.mapInArrow(_decode(_broadcast(tokens, vocabulary), names.index("tokens")), schema)

@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.bpe import VOCABULARY, Encoder, grouped
-from loomgraph.llm.shared import doc_ids, written
+from loomgraph.llm.shared import doc_ids, give_back, written
 from loomgraph.llm.windows import pack, unpack
 
 PRECISION, BLOCK, LANES, CHECKPOINT = 20, 1 << 16, 32, 512
 #: Bytes of text that are encoded together: less than operator 8 takes, as workers also code blocks.
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 6 << 20
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 ROW = "part int, block int, n_tokens int, doc_id array<long>, doc_tokens array<int>, doc_first array<int>, n_words int, stream binary, states binary, checkpoints binary, crc array<long>"
@@ -174,6 +174,7 @@ def _tokens(encoder):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([raw[a:b].tobytes() for a, b in zip(off[:-1], off[1:])], pa.binary()), pa.nulls(batch.num_rows, pa.binary())], names=["doc_id", "ids", "counts"])
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=["doc_id", "ids", "counts"])
+        give_back()
 
     return run
 
@@ -189,7 +190,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["id", "n"])
 
 
-def _blocks(freq, wide: bool, block: int, group: int = 48):
+def _blocks(freq, wide: bool, block: int, group: int = 24):
     kind = np.uint32 if wide else np.uint16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,6 +244,7 @@ def _blocks(freq, wide: bool, block: int, group: int = 48):
                         yield pa.RecordBatch.from_pylist([row], schema=SCHEMA)
         for row in flush(True):
             yield pa.RecordBatch.from_pylist([row], schema=SCHEMA)
+        give_back()
 
     return run
 

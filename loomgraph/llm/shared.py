@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,10 +12,43 @@ from pyspark.sql import functions as F
 
 from loomgraph.session import forget, read, shared_dir, written
 
-__all__ = ["chunks", "doc_ids", "forget", "pieces", "plan_bytes", "read", "shared_dir", "utf8_buffers", "written"]
+__all__ = ["blobs", "chunks", "doc_ids", "forget", "give_back", "pieces", "plan_bytes", "prime", "read", "shared_dir", "unused", "utf8_buffers", "written"]
 
 #: Text handed to one vectorised step; bounds the scratch arrays of a Python worker.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers are reused, and would hold what the greatest step took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def blobs(column: pa.ChunkedArray) -> list[pa.Buffer]:
+    """The values of a binary column, without copies."""
+    return [x.as_buffer() for chunk in column.chunks for x in chunk]
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores as make it differ from df's columns, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def prime(n: int) -> int:
+    """The least prime from n on."""
+    while any(n % i == 0 for i in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
 
 
 def plan_bytes(df: DataFrame, column: str = "text") -> int:

@@ -11,6 +11,8 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 _P = 0x9E3779B97F4A7C15 | 1
 _Q = 0xD6E8FEB86659FD93 | 1
 _MASK = (1 << 64) - 1
+#: Powers that a worker keeps.
+KEPT_POWERS = 1 << 21
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -19,7 +21,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
         size = 1 << max(12, int(n - 1).bit_length())
-        out = []
+        out: list[np.ndarray] = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.empty(size, np.uint64)
             p[0] = 1
@@ -29,7 +31,8 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
                 done *= 2
             out.append(p)
         have = (out[0], out[1])
-        _powers[base] = have
+        if size <= KEPT_POWERS:  # those for a very long text go when it is done
+            _powers[base] = have
     return have
 
 

@@ -6,10 +6,12 @@ A window is repeated if the same words occur at another (doc_id, position).  Of
 least (doc_id, position) is its first copy; the others are later copies.  The result has a row for each maximal run of
 words covered by windows of a kind: kind 'first' (copies that stay) or 'later' (copies to remove).
 
-Plan: one scan hashes all windows with prefix sums and packs them by hash bucket (hash and place, about 10 bytes a
-window), one shuffle brings the equal hashes of a bucket together, where they are counted; only places of repeated
-windows are shuffled again, by document, to be merged.  The number of buckets follows the input, so that a bucket
-has about BUCKET_BYTES of text at every size.
+Plan: one scan hashes all windows with prefix sums.  Each pack of PACK windows is combined before the shuffle: a window
+that a pack has several times is known to be repeated, and all its places but the least are later copies whatever the rest
+of the corpus holds, so they go straight to their document; only the least place goes to the hash's bucket, with a mark.
+So a window that a third of all rows contain comes to its bucket once a pack, not once a row.  One shuffle brings the
+equal hashes of a bucket together, where they are counted; places of repeated windows are shuffled again, by document, to
+be merged.  The number of buckets and of tasks follows the input: a bucket has about BUCKET_BYTES of text at every size.
 
 Defined cases: a null text is empty; texts of fewer than `length` words have no window; rows with a null doc_id are
 left out, as they can't be reported; rows that share a doc_id are one document (the same words at the same position
@@ -24,18 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.llm import textscan
-from loomgraph.llm.shared import chunks, doc_ids, pieces, plan_bytes, utf8_buffers
+from loomgraph.llm.shared import blobs, chunks, doc_ids, give_back, pieces, plan_bytes, prime, unused, utf8_buffers
 
 LENGTH = 50
 #: Parquet bytes of text whose windows make a bucket, and windows that a scan task packs at once.
-BUCKET_BYTES = 6 << 20
-PACK = 3 << 20
+BUCKET_BYTES = 4 << 20
+PACK = 1 << 20
 
 INTERVALS = "doc_id long, kind string, start_word int, end_word int, n_words int"
 PACKED = pa.schema([("bucket", pa.int32()), ("packed", pa.binary())])
@@ -46,7 +49,7 @@ def pack(*arrays: np.ndarray, squeeze: bool = False) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(raw) if squeeze else raw
 
 
-def unpack(raw: bytes, squeezed: bool = False) -> list[np.ndarray]:
+def unpack(raw: bytes | pa.Buffer, squeezed: bool = False) -> list[np.ndarray]:
     if squeezed:
         raw = zstandard.ZstdDecompressor().decompress(raw)
     (n,) = struct.unpack_from("<I", raw)
@@ -64,13 +67,45 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def owner(docs: np.ndarray, groups: int) -> np.ndarray:
+    """The group of a document, Spark's pmod(doc_id, groups)."""
+    return docs % groups
+
+
+def combined(h: np.ndarray, d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of places with hashes: which are kept (the least of each hash), which of these occur again, and the other places."""
+    order = np.argsort(h)
+    s = h[order]
+    twin = np.zeros(len(s), bool)
+    np.equal(s[1:], s[:-1], out=twin[1:])
+    twin[:-1] |= twin[1:].copy()
+    order = order[twin]
+    keep, again = np.ones(len(h), bool), np.zeros(len(h), bool)
+    order = order[np.lexsort((p[order], d[order], h[order]))]
+    if not len(order):
+        return keep, again, order
+    hs, ds, ps = h[order], d[order], p[order]
+    first, new = np.ones(len(order), bool), np.ones(len(order), bool)
+    first[1:] = hs[1:] != hs[:-1]
+    new[1:] = first[1:] | (ds[1:] != ds[:-1]) | (ps[1:] != ps[:-1])
+    keep[order[~first]] = False
+    at = np.flatnonzero(first)
+    again[order[at]] = np.add.reduceat(new.astype(np.int64), at) > 1
+    return keep, again, order[new & ~first]
+
+
 def places(hashes: np.ndarray, docs: np.ndarray, pos: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, packed) of hashes with their places; the places of a row are in the order given, positions within a run of a document ascending."""
+    """Rows (bucket, packed): the least place of each hash, marked where it has others, by bucket of the hash (positions
+    within a run of a document ascending); and the others as later copies, by `buckets` plus the document's owner."""
     if not len(hashes):
         return
+    keep, again, later = combined(hashes, docs, pos)
+    if len(later):
+        yield from shifted(by_document(docs[later], pos[later], np.ones(len(later), bool), buckets), buckets).to_batches()
+        hashes, docs, pos, again = hashes[keep], docs[keep], pos[keep], again[keep]
     b = bucket_of(hashes, buckets)
     order = np.argsort(b.astype(np.uint16) if buckets <= 1 << 16 else b, kind="stable")
-    hashes, docs, pos, b = hashes[order], docs[order], pos[order], b[order]
+    hashes, docs, pos, b, again = hashes[order], docs[order], pos[order], b[order], again[order]
     cut = np.searchsorted(b, np.arange(buckets + 1))
     for at in range(0, buckets, 1024):
         rows, keys = [], []
@@ -84,26 +119,27 @@ def places(hashes: np.ndarray, docs: np.ndarray, pos: np.ndarray, buckets: int)
             runs = np.diff(np.r_[new, j - i]).astype(np.uint32)
             step = np.diff(np.r_[0, p])
             step[new] = p[new]
-            if step.max(initial=0) < 1 << 16:
-                step = step.astype(np.uint16)
+            step = step << 1 | again[i:j]
+            step = step.astype(np.uint16 if step.max(initial=0) < 1 << 16 else np.uint64)
             keys.append(k)
             rows.append(pack(hashes[i:j], step, np.frombuffer(pack(d[new], runs, squeeze=True), np.uint8)))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(rows, pa.binary())], schema=PACKED)
 
 
-def unplaced(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """hashes, documents and positions of the rows of a bucket."""
-    hs, ds, ps = [], [], []
+def unplaced(packed: list[pa.Buffer]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """hashes, documents and positions of the rows of a bucket, and which are marked."""
+    hs, ds, ps, marks = [], [], [], []
     for raw in packed:
         h, step, rest = unpack(raw)
         docs, runs = unpack(rest.tobytes(), True)
-        step = step.astype(np.int64)
+        marks.append((step & step.dtype.type(1)).astype(bool))
+        step = step.astype(np.int64) >> 1
         total = np.cumsum(step)
         first = np.cumsum(runs.astype(np.int64)) - runs
         hs.append(h)
         ds.append(np.repeat(docs, runs))
         ps.append(total - np.repeat(total[first] - step[first], runs))
-    return np.concatenate(hs), np.concatenate(ds), np.concatenate(ps)
+    return np.concatenate(hs), np.concatenate(ds), np.concatenate(ps), np.concatenate(marks)
 
 
 def _scan(length: int, buckets: int):
@@ -126,34 +162,37 @@ def _scan(length: int, buckets: int):
                 held, n = [], 0
         if held:
             yield from places(*map(np.concatenate, zip(*held)), buckets)
+        give_back()
 
     return run
 
 
-def repeated(h: np.ndarray, d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents, positions and later-copy flags of the hashes that occur at more than one place."""
+def repeated(h: np.ndarray, d: np.ndarray, p: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, positions and later-copy flags of the hashes that occur at more than one place, or are marked."""
     order = np.argsort(h)
     s = h[order]
-    twin = np.zeros(len(s), bool)
-    np.equal(s[1:], s[:-1], out=twin[1:])
-    twin[:-1] |= twin[1:].copy()
+    twin = marked[order]
+    same = s[1:] == s[:-1]
+    twin[1:] |= same
+    twin[:-1] |= same
     order = order[twin]
-    h, d, p = h[order], d[order], p[order]
-    order = np.lexsort((p, d, h))
-    h, d, p = h[order], d[order], p[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1])
-    h, d, p = h[new], d[new], p[new]
+    order = order[np.lexsort((p[order], d[order], h[order]))]
+    if not len(order):
+        return d[order], p[order], np.empty(0, bool)
+    h, d, p, marked = h[order], d[order], p[order], marked[order]
     first = np.ones(len(h), bool)
     first[1:] = h[1:] != h[:-1]
-    alone = first.copy()
-    alone[:-1] &= first[1:]
-    return d[~alone], p[~alone], ~first[~alone]
+    new = first.copy()
+    new[1:] |= (d[1:] != d[:-1]) | (p[1:] != p[:-1])
+    at = np.flatnonzero(first)
+    many = (np.add.reduceat(new.astype(np.int64), at) > 1) | np.logical_or.reduceat(marked, at)
+    new &= np.repeat(many, np.diff(np.r_[at, len(h)]))
+    return d[new], p[new], ~first[new]
 
 
 def by_document(d: np.ndarray, p: np.ndarray, later: np.ndarray, groups: int) -> pa.Table:
-    """Rows (bucket, packed) of places, by a hash of the document."""
-    g = bucket_of(textscan.mix(d.astype(np.uint64)), groups)
+    """Rows (bucket, packed) of places, by the owner of the document."""
+    g = owner(d, groups)
     order = np.lexsort((p, d, g))
     d, g, code = d[order], g[order], (p[order] << 1) | later[order]
     cut = np.searchsorted(g, np.arange(groups + 1))
@@ -166,9 +205,28 @@ def by_document(d: np.ndarray, p: np.ndarray, later: np.ndarray, groups: int) ->
     return pa.table([pa.array(keys, pa.int32()), pa.array(rows, pa.binary())], schema=PACKED)
 
 
+def placed(packed: list[pa.Buffer]) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and codes (twice the position, plus 1 for later copies) of by_document()'s rows."""
+    ds, cs = [], []
+    for raw in packed:
+        d, runs, code = unpack(raw, True)
+        ds.append(np.repeat(d, runs))
+        cs.append(code.astype(np.int64))
+    return np.concatenate(ds), np.concatenate(cs)
+
+
+def shifted(table: pa.Table, by: int) -> pa.Table:
+    """Rows (bucket, packed) with their buckets moved."""
+    return table.set_column(0, PACKED.field(0), pa.compute.add(table.column("bucket"), pa.scalar(by, pa.int32())).cast(pa.int32()))
+
+
 def _count(groups: int):
     def run(table: pa.Table) -> pa.Table:
-        return by_document(*repeated(*unplaced(table.column("packed").to_pylist())), groups)
+        if table.column("bucket")[0].as_py() >= groups:  # later copies on their way to their documents
+            return shifted(table, -groups)
+        out = by_document(*repeated(*unplaced(blobs(table.column("packed")))), groups)
+        give_back()
+        return out
 
     return run
 
@@ -195,12 +253,7 @@ def intervals(d: np.ndarray, p: np.ndarray, later: np.ndarray, length: int) -> p
 
 def _merge(length: int):
     def run(table: pa.Table) -> pa.Table:
-        ds, cs = [], []
-        for raw in table.column("packed").to_pylist():
-            d, runs, code = unpack(raw, True)
-            ds.append(np.repeat(d, runs))
-            cs.append(code.astype(np.int64))
-        d, c = np.concatenate(ds), np.concatenate(cs)
+        d, c = placed(blobs(table.column("packed")))
         order = np.lexsort((c, d))
         d, c = d[order], c[order]
         # a place that is a first copy in one bucket and a later one in another is a later one
@@ -211,17 +264,22 @@ def _merge(length: int):
     return run
 
 
-def spans_of(places_by_document: DataFrame, length: int) -> DataFrame:
-    return places_by_document.groupBy("bucket").applyInArrow(_merge(length), INTERVALS)
+def grouped(rows: DataFrame, tasks: int):
+    """The rows by bucket, in as many tasks as follow the input (not the session's setting)."""
+    return rows.repartition(tasks, "bucket").groupBy("bucket")
+
+
+def spans_of(places_by_document: DataFrame, length: int, tasks: int) -> DataFrame:
+    return grouped(places_by_document, tasks).applyInArrow(_merge(length), INTERVALS)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """See the module's text.  Returns doc_id, kind, start_word, end_word (exclusive), n_words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = pieces(plan_bytes(docs), BUCKET_BYTES, 16)
+    n = prime(pieces(plan_bytes(docs), BUCKET_BYTES, 16))
     packed = docs.mapInArrow(_scan(length, n), "bucket int, packed binary")
-    counted = packed.groupBy("bucket").applyInArrow(_count(n), "bucket int, packed binary")
-    return spans_of(counted, length)
+    counted = grouped(packed, n).applyInArrow(_count(n), "bucket int, packed binary")
+    return spans_of(counted, length, -(-n // 4))
 
 
 def oracle(length: int = LENGTH) -> str:
@@ -275,12 +333,10 @@ def without_later(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     Rows with a null doc_id and documents that had no word stay as they are.
     """
-    mark = "spans"
-    while mark in {c.lower() for c in docs.columns}:
-        mark += "_"
-    later = spans.where("kind = 'later'").groupBy(F.col("doc_id").alias(f"{mark}_doc")).agg(F.collect_list(F.struct("start_word", "end_word")).alias(mark))
-    joined = docs.join(later, F.col("doc_id").cast("long") == F.col(f"{mark}_doc"), "left").drop(f"{mark}_doc")
-    joined = joined.select(*[F.col(f"`{c}`") for c in docs.columns], mark, F.col(mark).isNotNull().alias(f"{mark}_cut"))
-    schema = T.StructType([*docs.schema.fields, T.StructField(f"{mark}_cut", T.BooleanType())])
+    mark, key, cut_mark = unused(docs, "spans", "spans_doc", "spans_cut")
+    later = spans.where("kind = 'later'").groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(mark))
+    joined = docs.join(later, F.col("doc_id").cast("long") == F.col(key), "left").drop(key)
+    joined = joined.select(*[F.col(f"`{c}`") for c in docs.columns], mark, F.col(mark).isNotNull().alias(cut_mark))
+    schema = T.StructType([*docs.schema.fields, T.StructField(cut_mark, T.BooleanType())])
     cut = joined.mapInArrow(_cut(docs.columns.index("text"), mark), schema)
-    return cut.where(~F.col(f"{mark}_cut") | F.col("text").rlike("[^ \\t\\n\\r\\f\\x0B]")).drop(f"{mark}_cut")
+    return cut.where(~F.col(cut_mark) | F.col("text").rlike("[^ \\t\\n\\r\\f\\x0B]")).drop(cut_mark)

@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -61,10 +62,25 @@ def test_against_brute_force(documents, rng, operator):
     assert any(d == 5 for d, *_ in got)
 
 
-def test_files_of_a_large_block(documents, rng):
-    rows = corpus(rng)
-    got = {tuple(r) for r in suffixes.repeated_spans(documents(rows), length=15, memory_symbols=50).collect()}
-    assert got == brute(rows, 15)
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.integers(1, 2), min_size=3, max_size=9), st.integers(0, 127)), min_size=1, max_size=9), st.integers(1, 9))
+def test_copies_over_runs_of_few_rows(tmp_path_factory, segments, rows):
+    """The windows of three symbols that occur again, or are marked, with columns read a few rows at a time."""
+    size, n = np.array([len(s) for s, _ in segments]), len(segments)
+    marks = np.array([m for _, m in segments], np.uint64)
+    suffixes.ROWS, had = rows, suffixes.ROWS
+    try:
+        columns = suffixes.collection_bwt(np.concatenate([np.array(s, np.uint32) for s, _ in segments]), size, str(tmp_path_factory.mktemp("bwt") / "x"))
+        got = suffixes.copies(columns, np.arange(n), np.full(n, 10), size, marks, 3)
+        columns.close()
+    finally:
+        suffixes.ROWS = had
+    where = defaultdict(list)
+    for i, (s, _) in enumerate(segments):
+        for o in range(len(s) - 2):
+            where[tuple(s[o : o + 3])].append((i, o))
+    want = {(i, o + 10, (i, o) != at[0]) for at in where.values() if len(at) > 1 or segments[at[0][0]][1] >> at[0][1] & 1 for i, o in at}
+    assert set(zip(*(x.tolist() for x in got))) == want
 
 
 @pytest.mark.parametrize("operator", [windows.repeated_spans, suffixes.repeated_spans])
@@ -80,9 +96,27 @@ def test_adjacent_repeated_rows(documents, rng, operator):
 def test_places_of_repeated_rows():
     h, d, p = np.arange(6, dtype=np.uint64), np.array([7, 7, 7, 7, 8, 8]), np.array([3, 7, 3, 7, 1, 70000])
     (batch,) = windows.places(h, d, p, 1)
-    assert [x.tolist() for x in windows.unplaced(batch.column("packed").to_pylist())] == [h.tolist(), d.tolist(), p.tolist()]
-    (batch,) = windows.places(h[:4], d[:4], p[:4], 1)
-    assert windows.unplaced(batch.column("packed").to_pylist())[2].tolist() == [3, 7, 3, 7]
+    back = windows.unplaced(windows.blobs(pa.table([batch.column("packed")], names=["packed"]).column("packed")))
+    assert [x.tolist() for x in back] == [h.tolist(), d.tolist(), p.tolist(), [False] * 6]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 3), st.integers(0, 3)), max_size=30), st.integers(1, 5))
+def test_combined_places(rows, packs):
+    """What is combined in packs gives the same as all places at once."""
+    want = defaultdict(set)
+    for h, d, p in rows:
+        want[h].add((d, p))
+    want = {(d, p, (d, p) != min(at)) for at in want.values() if len(at) > 1 for d, p in at}
+    kept, direct = [], set()
+    for i in range(packs):
+        h, d, p = (np.array([r[k] for r in rows[i::packs]], t) for k, t in enumerate((np.uint64, np.int64, np.int64)))
+        keep, again, later = windows.combined(h, d, p)
+        kept.append((h[keep], d[keep], p[keep], again[keep]))
+        direct |= {(int(d[x]), int(p[x]), True) for x in later}
+    got = set(zip(*(x.tolist() for x in windows.repeated(*map(np.concatenate, zip(*kept))))))
+    # a place that is a first copy of one hash and a later one of another has both rows
+    assert got | direct == want
 
 
 @pytest.mark.parametrize("operator", [windows.repeated_spans, suffixes.repeated_spans])
@@ -100,10 +134,17 @@ def test_cut_keeps_columns_and_nulls(documents):
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(1, 3), min_size=1, max_size=9), min_size=1, max_size=7))
-def test_collection_bwt(segments):
+def test_collection_bwt(tmp_path_factory, segments):
     size = np.array([len(s) for s in segments])
     symbols = np.concatenate([np.array(s, np.uint32) for s in segments])
-    bwt, lcp, who, offset = suffixes.collection_bwt(symbols, size)
+    suffixes.ROWS, rows = 5, suffixes.ROWS
+    try:
+        columns = suffixes.collection_bwt(symbols, size, str(tmp_path_factory.mktemp("bwt") / "x"))
+        bwt, lcp, tag = (np.concatenate(x) for x in list(zip(*columns.runs("bwt", "lcp", "tag")))[1:])
+        columns.close()
+    finally:
+        suffixes.ROWS = rows
+    who, offset = tag >> 16, size[tag >> 16] - (tag & 0xFFFF)
     want = sorted((tuple((1, x) for x in s[o:]) + ((0, i),), i, o) for i, s in enumerate(segments) for o in range(len(s) + 1))
     assert [(i, o) for _, i, o in want] == list(zip(who, offset))
     for r, (suffix, i, o) in enumerate(want):
