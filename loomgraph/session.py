@@ -12,6 +12,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
@@ -31,6 +32,9 @@ def ship(spark: SparkSession) -> None:
                     out.write(full, os.path.join("loomgraph", os.path.relpath(full, here)))
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
+    # batches follow bytes, not rows, so that long texts don't make large ones; a value that the user set stays
+    if spark.conf.get(BATCH_BYTES, None) in (None, "64MB", "67108864", "67108864b"):
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
