@@ -10,13 +10,18 @@ Search.  The first 92 bits are four words of 23 bits.  The Golay code of 4,096 c
 and is perfect: every word has one anchor within 3.  If fingerprints differ in at most 12 bits, they differ in a word by
 no more than its share (SHARES: 3, 2, 2 or 2 bits, as 4 + 3 + 3 + 3 = 12 + 1).  So each fingerprint is sent, for each
 of its four words, to its own anchor as a home, and to every anchor within 3 + share as a visitor; two near copies meet
-at the home anchor of either.  The search is exact.  Documents with one fingerprint are joined before it; in an anchor
-a union-find leaves one edge a fingerprint, not all pairs.  Components are found with alternating large-star and
-small-star rounds over tables in the shared folder.
+at the home anchor of either.  The search is exact.
+
+Documents with one fingerprint are one node of the search.  Anchors are put in as many parts as make a part PART_BYTES;
+where there are not anchors enough, a part's visitors are split, and its homes go to each split.  In a part a union-find
+leaves one edge a node, not all pairs, and nodes that are known to be linked aren't compared: a group of very many near
+copies is linked by a few of its nodes, and its others are compared with those outside of it only (linked()).  Components
+are found with alternating large-star and small-star rounds over tables in the shared folder, until nothing changes.
 
 Defined cases: a null text is an empty one; all texts without a word have one fingerprint (0) and are one group; rows with
-a null doc_id are left out; rows that share a doc_id are one document if they share a fingerprint, else near copies by
-force of the id; an empty table gives no rows; other columns are not read.
+a null doc_id are left out; rows that share a doc_id are one document, whose fingerprints are linked; an empty table gives
+no rows; other columns are not read.  kept() returns one row of each group: of rows that share the doc_id kept, that of
+least text (null first, then in the order of bytes) and then of least other columns; rows with a null doc_id all stay.
 """
 
 from __future__ import annotations
@@ -30,13 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import textscan
-from loomgraph.llm.shared import chunks, doc_ids, forget, utf8_buffers, written
-from loomgraph.llm.windows import pack, unpack
+from loomgraph.llm.shared import blobs, chunks, doc_ids, forget, give_back, pieces, unused, utf8_buffers, written
+from loomgraph.llm.windows import grouped, pack, unpack
 
 NEAR, NEAR_ALL = 12, 20
 SHARES = (3, 2, 2, 2)
-#: Groups of anchors of each word.
-PARTS = 256
+#: Bytes that a fingerprint takes at the anchors it is sent to, and bytes of a part.
+SENT_BYTES, PART_BYTES = 3800, 4 << 20
+ANCHORS = 1 << 12
 
 #: Bytes that end a word: ASCII other than letters and digits.
 GAP = np.ones(256, bool)
@@ -95,7 +101,7 @@ class Golay:
         return which, (words[which] ^ pattern[at]) >> 11
 
 
-def split(low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
+def split_words(low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
     """The four 23-bit words of the first 92 bits: bits 0-45 of low, and of high."""
     mask = np.uint64((1 << 23) - 1)
     return [(x >> np.uint64(s) & mask).astype(np.uint32) for x in (low, high) for s in (0, 23)]
@@ -166,40 +172,48 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_prints, "doc_id long, low long, high long")
 
 
-def _send(parts: int):
+def parts_of(nodes: int) -> tuple[int, int]:
+    """Parts of each word's anchors, and splits of each part's visitors."""
+    n = pieces(nodes * SENT_BYTES, 4 * PART_BYTES)
+    return min(n, ANCHORS), pieces(n, ANCHORS)
+
+
+def _send(parts: int, splits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         golay = Golay.get()
-        schema = pa.schema([("part", pa.int32()), ("packed", pa.binary())])
+        schema = pa.schema([("bucket", pa.int32()), ("packed", pa.binary())])
         for whole in batches:
             for at in range(0, whole.num_rows, 1 << 13):
                 batch = whole.slice(at, 1 << 13)
                 node = np.asarray(batch.column("node"))
                 low, high = (np.asarray(batch.column(c)).view(np.uint64) for c in ("low", "high"))
+                split = (textscan.mix(node.astype(np.uint64)) % np.uint64(splits)).astype(np.int64)
                 keys, rows = [], []
-                for w, words in enumerate(split(low, high)):
-                    own, home = golay.anchors(words, 3)
-                    which, anchor = golay.anchors(words, 3 + SHARES[w])
-                    # a part holds the anchors of one word that are the same modulo its share of the parts
-                    for kind, i, a in ((0, own, home), (1, which, anchor)):
-                        part = (a % parts).astype(np.uint16)
+                for w, words in enumerate(split_words(low, high)):
+                    sides = []
+                    for reach in (3, 3 + SHARES[w]):
+                        i, anchor = golay.anchors(words, reach)
+                        part = anchor.astype(np.int64) % parts
+                        if reach > 3:
+                            part = part * splits + split[i]
                         order = np.argsort(part, kind="stable")
-                        i, a, part = i[order], a[order], part[order]
-                        cut = np.searchsorted(part, np.arange(parts + 1))
-                        for p in np.flatnonzero(np.diff(cut)):
-                            j = i[cut[p] : cut[p + 1]]
-                            keys.append(w * parts + p)
-                            rows.append(pack(np.full(1, kind, np.uint8), a[cut[p] : cut[p + 1]].astype(np.uint16), *_shared(node, low, high, j)))
+                        i, anchor = i[order], anchor[order].astype(np.uint16)
+                        cut = np.searchsorted(part[order], np.arange(parts * (splits if reach > 3 else 1) + 1))
+                        sides.append((i, anchor, cut))
+                    for p in range(parts * splits):
+                        arrays = []
+                        for (i, anchor, cut), q in zip(sides, (p // splits, p)):
+                            j = i[cut[q] : cut[q + 1]]
+                            arrays += [anchor[cut[q] : cut[q + 1]], node[j], low[j], high[j]]
+                        if len(arrays[0]) or len(arrays[4]):
+                            keys.append(w * parts * splits + p)
+                            rows.append(pack(*arrays))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(rows, pa.binary())], schema=schema)
+        give_back()
 
     return run
 
 
-def _shared(node, low, high, j):
-    """The distinct fingerprints of j, and the index of each of j among them."""
-    u, inverse = np.unique(j, return_inverse=True)
-    return inverse.astype(np.uint16), node[u], low[u], high[u]
-
-
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least member of each node's component."""
     root = np.arange(n)
@@ -217,68 +231,127 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def linked(home: list[np.ndarray], visit: list[np.ndarray], block: int = 1 << 20, leaders: int = 16, crowd: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, node) that link all near homes and visitors (node, low, high) of an anchor: not all pairs, but as
+    many as make the same components.
+
+    Up to `leaders` homes, none linked to one before it, are compared with all; then the homes of each component of over
+    `crowd` homes are compared with the visitors outside of it, so that they cost nothing among themselves.
+    """
+    names, of = np.unique(np.r_[home[0], visit[0]], return_inverse=True)
+    h, v = of[: len(home[0])], of[len(home[0]) :]
+    root = np.arange(len(names))
+    edges: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def compare(i: np.ndarray, j: np.ndarray) -> None:
+        """Links homes i with visitors j."""
+        step = max(1, block // max(1, len(j)))
+        low, high = visit[1][j][None], visit[2][j][None]
+        for k in range(0, len(i), step):
+            x, y = np.nonzero(near(home[1][i[k : k + step], None], home[2][i[k : k + step], None], low, high))
+            a, b = h[i[k + x]], v[j[y]]
+            edges.append((a, b))
+
+    def join() -> None:
+        nonlocal root
+        if edges:
+            root = roots(len(names), *(root[np.concatenate(x)] for x in zip(*edges)))[root]
+            edges.clear()
+
+    if len(h) * len(v) <= block:
+        compare(np.arange(len(h)), np.arange(len(v)))
+        join()
+    else:
+        led = np.zeros(len(h), bool)
+        for _ in range(leaders):
+            lone = np.flatnonzero((np.bincount(root, minlength=len(names))[root[h]] == 1) & ~led)
+            if not len(lone):
+                break
+            led[lone[0]] = True
+            compare(lone[:1], np.arange(len(v)))
+            join()
+        order = np.argsort(root[h], kind="stable")
+        cut = np.flatnonzero(np.r_[True, np.diff(root[h][order]) > 0, True])
+        big = np.diff(cut) > crowd
+        small = np.concatenate([order[cut[c] : cut[c + 1]] for c in np.flatnonzero(~big)] or [order[:0]])
+        compare(small, np.arange(len(v)))
+        for c in np.flatnonzero(big):
+            own = order[cut[c] : cut[c + 1]]
+            compare(own, np.flatnonzero(root[v] != root[h[own[0]]]))
+        join()
+    star = np.flatnonzero(root != np.arange(len(names)))
+    return names[star], names[root[star]]
+
+
 def _meet(table: pa.Table) -> pa.Table:
-    """Edges (node, least node of its component in this part)."""
-    sides: tuple[list, list] = ([], [])
-    for raw in table.column("packed").to_pylist():
-        kind, anchor, inverse, node, low, high = unpack(raw)
-        sides[int(kind[0])].append((anchor, node[inverse], low[inverse], high[inverse]))
+    """Edges (node, least node of its component at an anchor)."""
+    parts = [unpack(raw) for raw in blobs(table.column("packed"))]
+    home, visit = ([np.concatenate([p[k + i] for p in parts]) for i in range(4)] for k in (0, 4))
     src, dst = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    if sides[0] and sides[1]:
-        home, visit = (tuple(map(np.concatenate, zip(*s))) for s in sides)
-        home, visit = (tuple(c[np.argsort(s[0], kind="stable")] for c in s) for s in (home, visit))
-        for a in np.unique(home[0]):
-            i, j = np.searchsorted(home[0], [a, a + 1]), np.searchsorted(visit[0], [a, a + 1])
-            h, v = [c[i[0] : i[1]] for c in home[1:]], [c[j[0] : j[1]] for c in visit[1:]]
-            step = max(1, (1 << 20) // max(1, len(v[0])))
-            for k in range(0, len(h[0]), step):
-                hit = near(h[1][k : k + step, None], h[2][k : k + step, None], v[1][None], v[2][None])
-                x, y = np.nonzero(hit)
-                x, y = h[0][k + x], v[0][y]
-                differ = x != y
-                if differ.any():
-                    src.append(x[differ])
-                    dst.append(y[differ])
+    home, visit = ([c[np.argsort(s[0], kind="stable")] for c in s] for s in (home, visit))
+    for a in np.unique(home[0]):
+        i, j = np.searchsorted(home[0], [a, a + 1]), np.searchsorted(visit[0], [a, a + 1])
+        x, y = linked([c[i[0] : i[1]] for c in home[1:]], [c[j[0] : j[1]] for c in visit[1:]])
+        src.append(x)
+        dst.append(y)
     x, y = np.concatenate(src), np.concatenate(dst)
     names, inverse = np.unique(np.r_[x, y], return_inverse=True)
     root = roots(len(names), inverse[: len(x)], inverse[len(x) :])
     star = np.flatnonzero(root != np.arange(len(names)))
+    give_back()
     return pa.table({"src": pa.array(names[star], pa.int64()), "dst": pa.array(names[root[star]], pa.int64())})
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of the component of each node of the edges (src, dst).
 
     Large-star: each node's greater neighbours are linked to its least neighbour; small-star: its lesser ones and itself.
-    Each round is a table in the shared folder; the rounds end when one changes nothing.
+    Each round is a table in the shared folder; the rounds end when one changes nothing (they number as the logarithm of
+    the nodes, squared at most).
     """
-    edges = written(edges.where("src <> dst").distinct(), "edges")
-    count = None
-    for _ in range(rounds):
+    edges, state = written(edges.where("src <> dst").distinct(), "edges"), None
+    while True:
         both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         low = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("least"))
         large = both.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("least").alias("dst")).where("src <> dst").distinct()
-        down = large.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-        low = down.groupBy("src").agg(F.min("dst").alias("least"))
-        small = down.join(low, "src").select(F.col("dst").alias("src"), F.col("least").alias("dst")).where("src <> dst").union(low.select("src", F.col("least").alias("dst"))).distinct()
+        low = large.groupBy("src").agg(F.min("dst").alias("least"))
+        small = large.join(low, "src").select(F.col("dst").alias("src"), F.col("least").alias("dst")).where("src <> dst").union(low.select("src", F.col("least").alias("dst"))).distinct()
         after = written(small, "edges")
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")), F.countDistinct("src")).first()
+        now = after.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         forget(edges)
         edges = after
-        if state == count or not state[0]:
-            break
-        count = state
-    return edges.select(F.col("src").alias("node"), F.col("dst").alias("root"))
+        if now == state or not now[0]:
+            return edges.select(F.col("src").alias("node"), F.col("dst").alias("root"))
+        state = now
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """See the module's text.  Returns doc_id, group_id, n_docs, keep."""
     prints = written(fingerprints(docs).distinct(), "fingerprints")
-    nodes = prints.groupBy("low", "high").agg(F.min("doc_id").alias("node"))
-    found = nodes.select("node", "low", "high").mapInArrow(_send(PARTS), "part int, packed binary").groupBy("part").applyInArrow(_meet, "src long, dst long")
-    same = prints.join(nodes, ["low", "high"]).where("doc_id <> node").select(F.col("doc_id").alias("src"), F.col("node").alias("dst"))
-    linked = components(found.union(same))
-    members = linked.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
-    members = members.union(members.select(F.col("group_id").alias("doc_id"), "group_id").distinct())
-    counts = members.groupBy("group_id").agg(F.count("*").alias("n_docs"))
+    nodes = written(prints.groupBy("low", "high").agg(F.min("doc_id").alias("node")), "nodes")
+    parts, splits = parts_of(nodes.count())
+    found = grouped(nodes.mapInArrow(_send(parts, splits), "bucket int, packed binary"), 4 * parts * splits).applyInArrow(_meet, "src long, dst long")
+    # copies of one fingerprint are put under their node once, and don't take part in the rounds
+    of = written(prints.join(nodes, ["low", "high"]).select("doc_id", "node"), "members")
+    several = of.groupBy("doc_id").agg(F.min("node").alias("dst"), F.count("*").alias("n")).where("n > 1").select("doc_id", "dst")
+    shared = of.join(several, "doc_id").select(F.col("node").alias("src"), "dst")
+    linked_nodes = components(found.union(shared))
+    members = of.join(linked_nodes, "node", "left").select("doc_id", F.coalesce("root", "node").alias("group_id")).distinct()
+    counts = members.groupBy("group_id").agg(F.count("*").alias("n_docs")).where("n_docs > 1")
     return members.join(counts, "group_id").select("doc_id", "group_id", "n_docs", (F.col("doc_id") == F.col("group_id")).alias("keep"))
+
+
+def kept(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with one row of each group: see the module's text."""
+    key, of = unused(docs, "gone", "of_id")
+    doc_id = F.col("doc_id").cast("long")
+    gone = near_groups(docs).where("not keep").select(F.col("doc_id").alias(key))
+    left = docs.join(gone, doc_id == F.col(key), "left_anti")
+    several = written(left.where("doc_id IS NOT NULL").groupBy(doc_id.alias(of)).agg(F.count("*").alias(key)).where(F.col(key) > 1).select(of), "repeated")
+    if not several.take(1):
+        return left
+    # combined before the shuffle, so an id of very many rows is no skew
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.struct(F.col("text"), F.xxhash64(*columns))
+    one = left.join(several, doc_id == F.col(of), "left_semi").groupBy(doc_id.alias(of)).agg(F.min_by(F.struct(*columns), order).alias(key))
+    return left.join(several, doc_id == F.col(of), "left_anti").union(one.select(*[F.col(key)[c].alias(c) for c in docs.columns]))

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from loomgraph.llm import fingerprints as fp
 from tests.llm.conftest import sentence
@@ -57,3 +58,33 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (95, 100), (7, 7)]
     got = {tuple(r) for r in fp.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {(i, 1) for i in range(2, 41)} | {(95, 90), (100, 90)}
+
+
+@pytest.mark.parametrize("crowd", [0, 3, 10**6])
+def test_linked_makes_the_components_of_all_pairs(crowd):
+    """A crowd of near copies, a chain away from it, and strangers: with few comparisons as with all."""
+    r = np.random.default_rng(5)
+    flip = lambda x, n: x ^ np.uint64(sum(1 << int(b) for b in r.choice(46, n, replace=False)))
+    centre = r.integers(0, 1 << 63, 2).astype(np.uint64)
+    low = [flip(centre[0], int(r.integers(0, 9))) for _ in range(80)]
+    for _ in range(15):
+        low.append(flip(low[-1], 11))
+    low = np.r_[np.array(low, np.uint64), r.integers(0, 1 << 63, 25).astype(np.uint64)]
+    high, node = np.full(len(low), centre[1]), r.permutation(len(low)).astype(np.int64) + 1000
+    at = r.choice(len(low), 90, replace=False)
+    home = [node[at], low[at], high[at]]
+    x, y = fp.linked(home, [node, low, high], block=10, leaders=4, crowd=crowd)
+    a, b = np.nonzero(fp.near(low[at][:, None], high[at][:, None], low[None], high[None]))
+    want = fp.roots(len(low), node[at[a]] - 1000, node[b] - 1000)
+    assert (fp.roots(len(low), x - 1000, y - 1000) == want).all()
+    assert len(x) < len(low)
+
+
+def test_kept_rows(documents, spark, rng):
+    """One row of a group and of a doc_id stays, whichever columns clash with the plan's."""
+    a, b = sentence(rng, 90), sentence(rng, 90)
+    rows = [(1, a), (1, a), (2, a), (3, b), (None, a), (None, a), (4, None), (4, sentence(rng, 90))]
+    docs = documents(rows).selectExpr("*", "1 AS gone", "2 AS GONE_", "3 AS Of_Id", "4 AS spans", "5 AS node", "6 AS keep")
+    out = fp.kept(docs)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id or 0), r.text or "") for r in out.collect()) == sorted([(1, a), (3, b), (0, a), (0, a), (4, "")])
