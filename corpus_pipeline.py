@@ -1,6 +1,8 @@
 """Cleaning of a corpus in five stages, each over all that the one before kept.
 
 Each function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Columns other than doc_id, text, lang and source are carried along whatever their names; an empty table gives no rows;
+n_chars, where there is such a column, is that of the text after it was cut.
 """
 
 from __future__ import annotations
@@ -22,32 +24,36 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects the outliers of each language and source, and documents without a word."""
+    """Rejects the outliers of each language and source, and texts without a word (null and empty ones too); each row,
+    with a null doc_id or repeated, is judged by itself."""
     ship(spark)
     return quality.kept(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each group of near copies; rows with a null doc_id stay."""
+    """Keeps one row of each group of near copies: that of the group's least doc_id, and of rows that share this doc_id the
+    one of least text (null first).  Rows with a null doc_id all stay; null and empty texts are near copies of each other."""
     ship(spark)
-    gone = fingerprints.near_groups(docs).where("not keep").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    return fingerprints.kept(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts the later copies of repeated passages; documents of which nothing is left go."""
+    """Cuts the later copies of repeated passages; documents of which nothing is left go.  Rows that share a doc_id are one
+    document: the same words at the same place aren't copies of each other there, and what is cut is cut from each of
+    them (near_dedup leaves no such rows).  Rows with a null doc_id, and null or empty texts, stay as they are."""
     ship(spark)
     return _counted(windows.without_later(docs, suffixes.repeated_spans(docs)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts the passages of benchmark items; documents of which nothing is left go."""
+    """Cuts the passages of benchmark items, from every row; of the texts cut, those of which nothing is left go.  Null and
+    empty texts, and all if the benchmark is empty, stay as they are."""
     cut = contamination.cleaned(docs, read(spark, sf_dir, "benchmark"))
     return _counted(cut)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds token ids and their number."""
+    """Adds columns `tokens` (ids; none for null and empty texts) and `n_tokens`, in place of ones so named in any case."""
     ship(spark)
     return bpe.encoded(docs)
 
