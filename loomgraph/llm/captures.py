@@ -10,19 +10,23 @@ capture_no (from 1 in its URL's history), n_prior_same (earlier captures of that
 row), revisit (the same digest as the capture before it).
 
 Plan: index entries (not the pages) are sampled for range bounds on the whole sort key, so that a URL with a long history
-spans several ranges; each scan task sorts its entries once and sends each range a sorted run; a range's runs are merged
-by a loser tree, which takes from the winning run all entries up to the runner-up's first at once.  Histories that cross
-a range's end are carried over by a small table with one row a range.
+spans several ranges.  Each scan task sorts RUN entries at a time, and cuts the run at the bounds and into batches of
+BATCH entries, which are written to the shared folder.  The batches are put in the order of ranges and of their first
+entries (one exchange; a batch is a row), and each range is merged as a stream: a loser tree over the open batches gives
+the next entries, all up to the runner-up's first at once; a batch is opened when its first entry is due, so a task holds
+no more than a batch or two of each run, however long the range is.  The merged entries are the result as they come: the
+tasks are in the order of ranges, and nothing is sorted after the merge.  What a range's first history carries on from
+the ranges before is found by merging twice, the first time for a row a range (MOST_RANGES at most, then broadcast).
 
 Defined cases: a null url has the null key '' and is one history; null pages have a null digest, equal to each other's; null
-timestamps come first; ties in (urlkey, ts) are ordered by page_id (nulls first), then digest; repeated rows are captures of
-their own; an empty table gives no rows; other columns are not read.
+timestamps come first; ties in (urlkey, ts) are ordered by page_id, digest and url (nulls first); repeated rows are captures
+of their own; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +34,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.shared import pieces, plan_bytes, written
+from loomgraph.llm.shared import give_back, pieces, plan_bytes, written
 
-#: Parquet bytes of pages whose captures make a range: at first, and beyond 4096 ranges.
-RANGE_BYTES, LARGE_RANGE_BYTES = 8 << 20, 1 << 30
+#: Parquet bytes of pages whose captures make a range, and the most ranges: beyond, they are larger.
+RANGE_BYTES, MOST_RANGES = 8 << 20, 8192
+#: Entries of a run, of a batch, and of the samples for each range's bounds.
+RUN, BATCH, SAMPLES = 1 << 18, 1 << 12, 16
 TRACKING = "utm_[a-z]+|gclid|fbclid|sessionid|phpsessid|sid"
-KEYS = ("urlkey", "ts", "page_id", "digest")
+KEYS = ("urlkey", "ts", "page_id", "digest", "url")
 ENTRY = pa.schema([("urlkey", pa.string()), ("ts", pa.int64()), ("page_id", pa.int64()), ("digest", pa.string()), ("url", pa.string()), ("n_bytes", pa.int64())])
 
 
@@ -114,41 +120,62 @@ class LoserTree:
         return (None, -1) if found < 0 else (self.heads[found], found)
 
 
-def merge(runs: list[list[tuple]]) -> list[tuple[int, int, int]]:
-    """The order of sorted runs' entries, as slices (run, from, to)."""
-    at = [0] * len(runs)
-    tree = LoserTree([r[0] if r else None for r in runs])
-    out = []
-    while runs and tree.heads[tree.best] is not None:
-        run = tree.best
-        entries, begin = runs[run], at[run]
-        limit, other = tree.runner_up()
-        end = begin + 1
-        # gallop: all that come before the runner-up's head (equal ones go by the number of their run)
-        if limit is None:
-            end = len(entries)
-        else:
-            step = 1
-            while end < len(entries) and (entries[end], run) < (limit, other):
-                end = min(len(entries), end + step)
-                step *= 2
-            low, high = begin + 1, end
-            while low < high:
-                mid = (low + high) // 2
-                if (entries[mid], run) < (limit, other):
-                    low = mid + 1
-                else:
-                    high = mid
-            end = low
-        out.append((run, begin, end))
-        at[run] = end
-        tree.replace(entries[end] if end < len(entries) else None)
-    return out
+def merged(batches: Iterator[tuple[tuple, Callable[[], list[tuple]]]]) -> Iterator[tuple[int, int, int]]:
+    """The order of the entries of sorted batches, as slices (batch, from, to).
+
+    Batches come as (first entry, function that gives all entries), in the order of first entries, and are opened when
+    that is due.
+    """
+    waiting = enumerate(batches)
+    number, (due, load) = next(waiting, (-1, (None, None)))
+    opened: list[list] = []  # number, entries, place
+    while True:
+        tree = LoserTree([entries[at] for _, entries, at in opened])
+        while opened:
+            run = tree.best
+            head = tree.heads[run]
+            if head is None or due is not None and due <= head:
+                break
+            which, entries, begin = opened[run]
+            limit, other = tree.runner_up()
+            own = (run, other)
+            if due is not None and (limit is None or due < limit):
+                limit, own = due, (0, 0)
+            end = begin + 1
+            # gallop: all that come before the limit (equal ones go by the number of their batch)
+            if limit is None:
+                end = len(entries)
+            else:
+                step = 1
+                while end < len(entries) and (entries[end], own[0]) < (limit, own[1]):
+                    end = min(len(entries), end + step)
+                    step *= 2
+                low, high = begin + 1, end
+                while low < high:
+                    mid = (low + high) // 2
+                    if (entries[mid], own[0]) < (limit, own[1]):
+                        low = mid + 1
+                    else:
+                        high = mid
+                end = low
+            yield which, begin, end
+            opened[run][2] = end
+            tree.replace(entries[end] if end < len(entries) else None)
+        opened = [x for x in opened if x[2] < len(x[1])]
+        if due is None:
+            if not opened:
+                return
+            continue
+        opened.append([number, load(), 0])
+        number, (due, load) = next(waiting, (-1, (None, None)))
+
+
+def _tuples(columns: list) -> list[tuple]:
+    return [tuple((v is not None, v) for v in row) for row in zip(*columns)]
 
 
 def _sort_keys(table: pa.Table) -> list[tuple]:
-    cols = [table.column(c).to_pylist() for c in KEYS]
-    return [tuple((v is not None, v) for v in row) for row in zip(*cols)]
+    return _tuples([table.column(c).to_pylist() for c in KEYS])
 
 
 def _order(table: pa.Table) -> np.ndarray:
@@ -163,46 +190,141 @@ def _bytes(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _table(raw: bytes) -> pa.Table:
+def _table(raw: pa.Buffer) -> pa.Table:
     return pa.ipc.open_stream(raw).read_all()
 
 
 def _runs(bounds: list[tuple]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not sum(b.num_rows for b in held):
-            return
+    limits = _tuples(list(zip(*bounds))) if bounds else []
+
+    def run_of(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).select(ENTRY.names).cast(ENTRY)
-        table = table.take(_order(table))
-        keys = _sort_keys(table)
-        cut = [0, *[bisect.bisect_left(keys, tuple((v is not None, v) for v in b)) for b in bounds], len(keys)]
-        for i in range(len(cut) - 1):
-            if cut[i] < cut[i + 1]:
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([_bytes(table.slice(cut[i], cut[i + 1] - cut[i]))], pa.binary())], names=["range", "run"])
+        table = table.take(_order(table)).combine_chunks()
 
-    return run
+        def key(i: int) -> tuple:
+            return tuple((v is not None, v) for v in (table.column(c)[i].as_py() for c in KEYS))
+
+        n = table.num_rows
+        cut = [0, *[bisect.bisect_left(range(n), b, key=key) for b in limits], n]
+        rows = [(r, at, min(BATCH, cut[r + 1] - at)) for r in range(len(cut) - 1) for at in range(cut[r], cut[r + 1], BATCH)]
+        first = table.select(KEYS).take(pa.array([at for _, at, _ in rows], pa.int64()))
+        packed = pa.array([_bytes(table.slice(at, k)) for _, at, k in rows], pa.binary())
+        yield from pa.table([pa.array([r for r, _, _ in rows], pa.int32()), *first.columns, packed], names=["range", *KEYS, "packed"]).to_batches()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= RUN:
+                yield from run_of(held)
+                held, n = [], 0
+        if held:
+            yield from run_of(held)
+
+    return run
 
-INDEX = "range int, pos int, urlkey string, ts long, page_id long, url string, digest string, n_bytes long, capture_no long, streak long, revisit boolean"
 
+RUNS = "range int, urlkey string, ts long, page_id long, digest string, url string, packed binary"
+INDEX = "urlkey string, ts long, page_id long, url string, digest string, n_bytes long, capture_no long, n_prior_same long, revisit boolean"
+ENDS = "range int, head_key string, head_digest string, last_key string, last_digest string, number long, streak long, one_key boolean, one_digest boolean"
+
+
+class Numbers:
+    """Counts captures along merged entries: of the last one its key, digest, number, and how many before it in a row
+    have its key and digest."""
+
+    def __init__(self, key: str | None = None, digest: str | None = None, number: int = 0, streak: int = -1):
+        self.key, self.digest, self.number, self.streak = key, digest, number, streak
+
+    def next(self, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """capture_no and n_prior_same of the next entries."""
+        n = table.num_rows
+        keys, digests = (table.column(c).combine_chunks().dictionary_encode() for c in ("urlkey", "digest"))
+        url, digest = np.asarray(keys.indices), np.asarray(digests.indices.fill_null(-1))
+        new = np.ones(n, bool)
+        new[1:] = url[1:] != url[:-1]
+        first = np.flatnonzero(new)
+        number = np.arange(n) - np.repeat(first, np.diff(np.r_[first, n])) + 1
+        other = new.copy()
+        other[1:] |= digest[1:] != digest[:-1]
+        begin = np.flatnonzero(other)
+        streak = np.arange(n) - np.repeat(begin, np.diff(np.r_[begin, n]))
+        if table.column("urlkey")[0].as_py() == self.key:
+            number[: first[1] if len(first) > 1 else n] += self.number
+            if table.column("digest")[0].as_py() == self.digest:
+                streak[: begin[1] if len(begin) > 1 else n] += self.streak + 1
+        self.key, self.digest = table.column("urlkey")[n - 1].as_py(), table.column("digest")[n - 1].as_py()
+        self.number, self.streak = int(number[-1]), int(streak[-1])
+        return number, streak
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.Table]]]:
+    """Each range's number, and its merged entries in tables; to be taken in turn."""
+    rows = ((b, i) for b in batches for i in range(b.num_rows))
+    state = {"next": next(rows, None)}
+
+    def number(row) -> int:
+        return row[0].column("range")[row[1]].as_py()
+
+    def tables(r: int) -> Iterator[pa.Table]:
+        held: dict[int, pa.Table] = {}
+
+        def pending():
+            at = 0
+            while state["next"] is not None and number(state["next"]) == r:
+                b, i = state["next"]
+                state["next"] = next(rows, None)
+                raw = b.column("packed")[i].as_buffer()
+
+                def load(raw=raw, at=at):
+                    held[at] = _table(raw)
+                    return _sort_keys(held[at])
+
+                yield tuple((v is not None, v) for v in (b.column(c)[i].as_py() for c in KEYS)), load
+                at += 1
+
+        parts, n = [], 0
+        for which, begin, end in merged(pending()):
+            parts.append(held[which].slice(begin, end - begin))
+            n += end - begin
+            if end == held[which].num_rows:
+                del held[which]
+            if n >= 1 << 14:
+                yield pa.concat_tables(parts).combine_chunks()
+                parts, n = [], 0
+        if parts:
+            yield pa.concat_tables(parts).combine_chunks()
+
+    while state["next"] is not None:
+        r = number(state["next"])
+        yield r, tables(r)
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each range's first and last history tell to the ranges after it."""
+    for r, tables in _ranges(batches):
+        numbers, head, n = Numbers(), None, 0
+        for table in tables:
+            head = head or (table.column("urlkey")[0].as_py(), table.column("digest")[0].as_py())
+            numbers.next(table)
+            n += table.num_rows
+        row = {"range": r, "head_key": head[0], "head_digest": head[1], "last_key": numbers.key, "last_digest": numbers.digest, "number": numbers.number, "streak": numbers.streak, "one_key": numbers.number == n, "one_digest": numbers.streak == n - 1}
+        yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("range", pa.int32()), *[(c, pa.string()) for c in ("head_key", "head_digest", "last_key", "last_digest")], ("number", pa.int64()), ("streak", pa.int64()), ("one_key", pa.bool_()), ("one_digest", pa.bool_())]))
+
+
+def _index(before):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, tables in _ranges(batches):
+            numbers = Numbers(*before.value[r])
+            for table in tables:
+                number, streak = numbers.next(table)
+                columns = [table.column(c).combine_chunks() for c in ("urlkey", "ts", "page_id", "url", "digest", "n_bytes")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(number, pa.int64()), pa.array(streak, pa.int64()), pa.array(streak > 0)], names=[f.split()[0] for f in INDEX.split(", ")])
+        give_back()
 
-def _merge(table: pa.Table) -> pa.Table:
-    runs = sorted((_table(raw) for raw in table.column("run").to_pylist()), key=lambda t: _sort_keys(t.slice(0, 1)))
-    order = merge([_sort_keys(t) for t in runs])
-    whole = pa.concat_tables([runs[r].slice(a, b - a) for r, a, b in order]).combine_chunks()
-    n = whole.num_rows
-    url = np.asarray(whole.column("urlkey").combine_chunks().dictionary_encode().indices) if n else np.empty(0, int)
-    digest = np.asarray(whole.column("digest").combine_chunks().dictionary_encode().indices.fill_null(-1)) if n else np.empty(0, int)
-    new = np.ones(n, bool)
-    new[1:] = url[1:] != url[:-1]
-    first = np.flatnonzero(new)
-    number = np.arange(n) - np.repeat(first, np.diff(np.r_[first, n])) + 1
-    other = new.copy()
-    other[1:] |= digest[1:] != digest[:-1]
-    begin = np.flatnonzero(other)
-    streak = np.arange(n) - np.repeat(begin, np.diff(np.r_[begin, n]))
-    # the first streak of the first history may go on from the range before
-    return pa.table({"range": pa.array(np.full(n, table.column("range")[0].as_py()), pa.int32()), "pos": pa.array(np.arange(n), pa.int32()), "urlkey": whole.column("urlkey"), "ts": whole.column("ts"), "page_id": whole.column("page_id"), "url": whole.column("url"), "digest": whole.column("digest"), "n_bytes": whole.column("n_bytes"), "capture_no": pa.array(number, pa.int64()), "streak": pa.array(streak, pa.int64()), "revisit": pa.array(streak > 0)})
+    return run
 
 
 def entries(pages: DataFrame, time_column: str | None = None) -> DataFrame:
@@ -211,45 +333,38 @@ def entries(pages: DataFrame, time_column: str | None = None) -> DataFrame:
 
 
 def _bounds(found: DataFrame, ranges: int) -> list[tuple]:
-    """Bounds of about equal ranges, from a sample of 16 entries a range (by a hash of the entry)."""
-    if ranges < 2:
+    """Bounds of about equal ranges, from a sample of SAMPLES entries a range."""
+    total = found.count()
+    if ranges < 2 or not total:
         return []
-    keys = found.select(*KEYS)
-    total = keys.count()
-    every = max(1, total // (16 * ranges))
-    sample = sorted(tuple((v is not None, v) for v in r) for r in keys.where(F.pmod(F.xxhash64(*KEYS), F.lit(every)) == 0).collect())
+    share = min(1.0, SAMPLES * ranges / total)
+    sample = sorted(_tuples(list(zip(*[tuple(r) for r in found.select(*KEYS).sample(share, seed=6).collect()]))))
     return [tuple(v for _, v in sample[len(sample) * i // ranges]) for i in range(1, ranges)] if sample else []
 
 
+def carried(ends: list) -> dict[int, tuple]:
+    """What goes before each range: key, digest, number and streak of the last capture."""
+    before: tuple = (None, None, 0, -1)
+    out = {}
+    for r in sorted(ends, key=lambda r: r["range"]):
+        out[r["range"]] = before
+        number, streak = r["number"], r["streak"]
+        if r["one_key"] and before[0] == r["head_key"]:
+            number += before[2]
+        if r["one_digest"] and before[:2] == (r["head_key"], r["head_digest"]):
+            streak += before[3] + 1
+        before = (r["last_key"], r["last_digest"], number, streak)
+    return out
+
+
 def index(pages: DataFrame, time_column: str | None = None, ranges: int | None = None) -> DataFrame:
-    """See the module's text."""
-    found = entries(pages, time_column)
-    size = plan_bytes(pages.select("url", "html"), "html")
-    ranges = ranges or min(pieces(size, RANGE_BYTES), max(4096, pieces(size, LARGE_RANGE_BYTES)))
-    found = written(found, "captures")
-    bounds = _bounds(found, ranges)
-    runs = found.mapInArrow(_runs(bounds), "range int, run binary")
-    merged = written(runs.groupBy("range").applyInArrow(_merge, INDEX), "merged")
-    # each range's last entry, and whether the range is all one history and streak, tells what the next carries on
-    ends = merged.groupBy("range").agg(F.count("*").alias("n"), F.min_by(F.struct("urlkey", "digest"), "pos").alias("head"), F.max_by(F.struct("urlkey", "digest", "capture_no", "streak"), "pos").alias("last"))
-    carried, before = [], None
-    for r in sorted(ends.collect(), key=lambda r: r["range"]):  # one row a range
-        number = streak = 0
-        if before and before[0] == r.head.urlkey:
-            number = before[2]
-            streak = before[3] + 1 if before[1] == r.head.digest else 0
-        carried.append((r["range"], r.head.urlkey, r.head.digest, number, streak))
-        whole = r.last.capture_no == r.n and r.head.urlkey == r.last.urlkey
-        even = r.last.streak == r.n - 1 and whole
-        before = (r.last.urlkey, r.last.digest, r.last.capture_no + (number if whole else 0), r.last.streak + (streak if even else 0))
-    spark = pages.sparkSession
-    carry = spark.createDataFrame(carried, "range int, head_key string, head_digest string, add_no long, add_streak long")
-    joined = merged.join(F.broadcast(carry), "range") if len(carried) < 100_000 else merged.join(carry, "range")
-    goes_on = F.col("urlkey") == F.col("head_key")
-    in_first = goes_on & (F.col("capture_no") == F.col("pos") + 1) & (F.col("streak") == F.col("pos"))
-    streak = F.col("streak") + F.when(in_first, F.col("add_streak")).otherwise(F.lit(0))
-    out = joined.select("range", "pos", "urlkey", "ts", "page_id", "url", "digest", "n_bytes", (F.col("capture_no") + F.when(goes_on, F.col("add_no")).otherwise(F.lit(0))).alias("capture_no"), streak.alias("n_prior_same"))
-    return out.withColumn("revisit", F.col("n_prior_same") > 0).orderBy("range", "pos").drop("range", "pos")
+    """See the module's text.  The rows are in order: those of a task follow each other, and the tasks do."""
+    ranges = ranges or min(pieces(plan_bytes(pages.select("url", "html"), "html"), RANGE_BYTES), MOST_RANGES)
+    found = written(entries(pages, time_column), "captures")
+    runs = written(found.mapInArrow(_runs(_bounds(found, ranges)), RUNS), "runs")
+    ordered = runs.repartitionByRange(ranges, "range").sortWithinPartitions("range", *[F.asc_nulls_first(c) for c in KEYS])
+    before = carried(ordered.mapInArrow(_ends, ENDS).collect())  # one row a range
+    return ordered.mapInArrow(_index(pages.sparkSession.sparkContext.broadcast(before)), INDEX)
 
 
 def oracle() -> str:

@@ -12,9 +12,24 @@ URLS = ["http://a.com/x", "https://www.A.com/x/?utm_source=1", "http://b.org:80/
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 9)), max_size=9))
-def test_merge(runs):
-    runs = [sorted((x,) for x in r) for r in runs]
-    assert [runs[r][i] for r, a, b in captures.merge(runs) for i in range(a, b)] == sorted(x for r in runs for x in r)
+def test_merged(runs):
+    """Batches, opened as they are due, give their entries in order; no more than are needed are open."""
+    batches = sorted(sorted((x,) for x in r) for r in runs if r)
+    opened = []
+
+    def load(i):
+        opened.append(i)
+        return batches[i]
+
+    out = [(r, i) for r, a, b in captures.merged((x[0], lambda i=i: load(i)) for i, x in enumerate(batches)) for i in range(a, b)]
+    assert [batches[r][i] for r, i in out] == sorted((x,) for r in runs for x in r)
+    assert len(out) == len(set(out)) and opened == list(range(len(batches)))
+
+
+def test_batches_are_opened_late():
+    opened = []
+    merged = captures.merged(((i,), lambda i=i: opened.append(i) or [(i,), (i,)]) for i in range(5))
+    assert next(merged) == (0, 0, 2) and opened == [0]
 
 
 @pytest.mark.parametrize("ranges", [None, 3, 25])
@@ -34,5 +49,17 @@ def test_index(spark, rng, ranges, tmp_path):
     assert {r.urlkey for r in got} == {"com,a)/x", "org,b)/?q=1", "", "net,c)/z", "com,a)/x?b=2"}
 
 
+def test_time_column(spark, rng):
+    """Null times come first; ties are ordered by page_id, digest and url; columns named like the plan's are no matter."""
+    rows = [(i % 7, "http://a.com/x", f"p{i % 3}", rng.choice([None, 1, 2, 3]), i) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, at long, RANGE long").repartition(4)
+    got = captures.index(pages, time_column="at", ranges=6).collect()
+    assert [r.capture_no for r in got] == list(range(1, 61))
+    keys = [(r.ts is not None, r.ts or 0, r.page_id, r.digest) for r in got]
+    assert keys == sorted(keys)
+    for a, b in zip(got, got[1:]):
+        assert b.n_prior_same == (a.n_prior_same + 1 if a.digest == b.digest else 0) and b.revisit == (a.digest == b.digest)
+
+
 def test_empty(spark):
     assert captures.index(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
