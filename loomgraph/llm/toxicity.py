@@ -1,12 +1,14 @@
 """Operator 10, toxicity by multiple-instance learning: a document is toxic if one of its sentences is.
 
 A sentence is a run of text without '.', '!', '?' and line breaks that has a word (letters and digits, lower case).  Its
-score is p = sigmoid(bias + sum of the weights of its distinct words); a document's is the noisy-or 1 - product(1 - p).  Weights are trained on labels of documents only, by minimising the log loss of the noisy-or with
+score is p = sigmoid(bias + sum of the weights of its distinct words), and 0 if no word of it has a weight, so that a long
+text isn't toxic by its length; a document's is the noisy-or 1 - product(1 - p).  Weights are trained on labels of documents only, by minimising the log loss of the noisy-or with
 Adagrad on a sample of SAMPLE labelled documents (those of least hash of doc_id, a documented bound; one Python worker
 holds it).  Words in fewer than RARE sampled documents, or no likelier in toxic ones, have no weight.  Then every sentence of every document is scored.
 
-offending(): a row for each sentence with p >= `threshold`: doc_id, sentence_no (from 0, of those with words), start_char,
-end_char, sentence, score, doc_score.  Such a sentence makes its document's score at least as high.
+offending(): a row for each sentence with p >= `threshold`, and where a document's score reaches `threshold` without such
+a sentence, for its sentence of highest p (the first of equals): doc_id, sentence_no (from 0, of those with words),
+start_char, end_char, sentence, score, doc_score.
 
 Plan: the sample is one small join and one task; the model (weights of some hundred words) is broadcast; scoring is a scan without
 shuffle.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import textscan
 from loomgraph.llm.fingerprints import GAP
-from loomgraph.llm.shared import chunks, utf8_buffers
+from loomgraph.llm.shared import chunks, give_back, utf8_buffers
 from loomgraph.llm.windows import pack, unpack
 
 SAMPLE, RARE, EPOCHS = 12000, 6, 100
@@ -74,11 +76,15 @@ class Model:
         ok[ok] = self.words[which[ok]] == h[at[ok]]
         return at[ok], which[ok]
 
-    def logits(self, h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    def scores(self, h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
         """Of each of n sentences; a word that a sentence repeats counts once."""
         at, which = self.find(h)
         code = np.unique(of[at] << 32 | which)
-        return self.bias + np.bincount(code >> 32, weights=self.weights[code & 0xFFFFFFFF], minlength=n)
+        z = self.bias + np.bincount(code >> 32, weights=self.weights[code & 0xFFFFFFFF], minlength=n)
+        p = np.zeros(n)
+        some = np.unique(code >> 32)
+        p[some] = 1 / (1 + np.exp(-np.clip(z[some], -700, 30)))
+        return p
 
 
 def train(texts: pa.Array, toxic: np.ndarray, rare: int = RARE, epochs: int = EPOCHS) -> Model:
@@ -106,9 +112,12 @@ def train(texts: pa.Array, toxic: np.ndarray, rare: int = RARE, epochs: int = EP
     pick = known[index]
     code = np.unique(of[pick] << 32 | renamed[index[pick]])
     of, slots = code >> 32, code & 0xFFFFFFFF
+    # sentences without a known word have score 0 whatever is learned
+    some, of = np.unique(of, return_inverse=True)
+    rows, n_some = rows[some], len(some)
     gw, gb = np.full(len(w), 1e-8), 1e-6
     for _ in range(epochs):
-        z = b + np.bincount(of, weights=w[slots], minlength=n_sent)
+        z = b + np.bincount(of, weights=w[slots], minlength=n_some)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         none = np.bincount(rows, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n)
         doc = -np.expm1(none)
@@ -129,7 +138,7 @@ def score(texts: pa.Array, model: Model) -> tuple[np.ndarray, ...]:
     offsets of rows."""
     h, of, sent_off, start, end, off = sentences(texts)
     rows = np.repeat(np.arange(len(texts)), np.diff(sent_off))
-    p = 1 / (1 + np.exp(-np.clip(model.logits(h, of, len(rows)), -700, 30)))
+    p = model.scores(h, of, len(rows))
     doc = -np.expm1(np.bincount(rows, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(texts)))
     return p, rows, doc, start, end, sent_off, off
 
@@ -155,23 +164,41 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int =
     return Model(words, weights, float(bias[0]))
 
 
+def chosen(p: np.ndarray, rows: np.ndarray, doc: np.ndarray, threshold: float) -> np.ndarray:
+    """The sentences that are reported."""
+    hit = p >= threshold
+    bare = (doc >= threshold) & ~np.isin(np.arange(len(doc)), rows[hit])
+    if bare.any():
+        order = np.lexsort((-p, rows))
+        first = order[np.r_[True, rows[order][1:] != rows[order][:-1]]]
+        hit[first[bare[rows[first]]]] = True
+    return np.flatnonzero(hit)
+
+
+def characters(data: np.ndarray, off: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Characters of a row before bytes `at`, for all rows in one pass."""
+    before = np.r_[0, np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)]
+    return before[at] - before[off[rows]]
+
+
 def _offending(model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             texts = batch.column("text").fill_null("")
             p, rows, doc, start, end, sent_off, off = score(texts, model.value)
-            hit = np.flatnonzero(p >= threshold)
-            out = []
-            for s in hit.tolist():
-                r = int(rows[s])
-                # lower case may change the bytes of a text, not its characters
-                low = pc.utf8_lower(texts[r]).as_py().encode()
-                a, b = (len(low[: int(x[s] - off[r])].decode()) for x in (start, end))
-                text = texts[r].as_py()
-                out.append((batch.column("doc_id")[r].as_py(), s - int(sent_off[r]), a, b, text[a:b], round(float(p[s]), 6), round(float(doc[r]), 6)))
-            cols = list(zip(*out)) if out else [[]] * 7
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "sentence_no", "start_char", "end_char", "sentence", "score", "doc_score"])
+            hit = chosen(p, rows, doc, threshold)
+            of = rows[hit]
+            # lower case may change the bytes of a text, not its characters
+            low, _ = utf8_buffers(pc.utf8_lower(texts))
+            a, b = (characters(low, off, of, x[hit]) for x in (start, end))
+            data, at = utf8_buffers(texts)
+            point = np.flatnonzero((data & 0xC0) != 0x80)
+            head = np.searchsorted(point, at)[of]
+            ends = np.r_[point, len(data)]
+            found = [data[i:j].tobytes().decode() for i, j in zip(ends[head + a], ends[head + b])]
+            cols = [batch.column("doc_id").take(pa.array(of)), pa.array(hit - sent_off[of], pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(found, pa.string()), pa.array(np.round(p[hit], 6)), pa.array(np.round(doc[of], 6))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "sentence_no", "start_char", "end_char", "sentence", "score", "doc_score"])
+        give_back()
 
     return run
 

@@ -1,11 +1,12 @@
 """Operators 7 and 10: against plain versions and held-out labels."""
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
 
-from loomgraph.llm import mixing, toxicity
+from loomgraph.llm import mixing, textscan, toxicity
 from loomgraph.llm.shared import utf8_buffers
 from tests.llm.conftest import sentence
 
@@ -98,3 +99,41 @@ def test_offending_sentences(documents, spark, rng):
     assert toxicity.offending(docs.where("doc_id < 0"), known).collect() == []
     assert toxicity.offending(docs, known.where("toxic = 0")).collect() == []
     assert toxicity.offending(docs, known.where("doc_id < 0")).collect() == []
+
+
+def brute_offending(rows, model, threshold):
+    """One sentence after the other, with Python's strings."""
+    weight = dict(zip(model.words.tolist(), model.weights.tolist()))
+    out = []
+    for d, t in rows:
+        found = []
+        for part in re.finditer(r"[^.!?\n\r]+", "".join(c.lower()[0] for c in t or "")):  # one character for each
+            words = list(re.finditer(r"[a-z0-9\u0080-\U0010ffff]+", part.group()))
+            if words:
+                hashes = {int(textscan.span_hash(np.frombuffer(w.group().encode(), np.uint8), np.array([0]), np.array([len(w.group().encode())]))[0]) for w in words}
+                known = hashes & weight.keys()
+                z = model.bias + sum(weight[h] for h in known)
+                found.append((part.start() + words[0].start(), part.start() + words[-1].end(), 1 / (1 + math.exp(-z)) if known else 0.0))
+        doc = 1 - math.prod(1 - p for *_, p in found)
+        hits = [i for i, (*_, p) in enumerate(found) if p >= threshold]
+        if not hits and doc >= threshold:
+            hits = [max(range(len(found)), key=lambda i: found[i][2])]
+        out += [(d, i, found[i][0], found[i][1], t[found[i][0] : found[i][1]], round(found[i][2], 5), round(doc, 5)) for i in hits]
+    return out
+
+
+def test_offending_against_brute_force(documents, spark, rng):
+    rows, labels = labelled(rng, 300)
+    rows += [(900, None), (901, ""), (902, "ÉÀ İ words here! You rotten one\nmore. İİ nasty"), (903, "fine. " * 5000), (904, "é? ñ vile\r\nx")]
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs = documents(rows)
+    model = toxicity.fit(docs, known)
+    # milder words: documents that reach the threshold by several sentences only
+    model.weights, model.bias = np.full(len(model.weights), 1.0), -1.5
+    from loomgraph.llm.toxicity import _offending
+
+    shared = spark.sparkContext.broadcast(model)
+    got = docs.select("doc_id", "text").mapInArrow(_offending(shared, 0.5), "doc_id long, sentence_no int, start_char int, end_char int, sentence string, score double, doc_score double").collect()
+    want = brute_offending(rows, model, 0.5)
+    assert sorted((*r[:5], round(r.score, 5), round(r.doc_score, 5)) for r in got) == sorted(want)
+    assert any(p < 0.5 <= d for *_, p, d in want) and any(r[0] == 902 for r in want)
