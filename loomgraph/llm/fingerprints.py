@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import textscan
-from loomgraph.llm.shared import blobs, chunks, doc_ids, forget, give_back, pieces, unused, utf8_buffers, written
-from loomgraph.llm.windows import grouped, pack, unpack
+from loomgraph.llm.shared import blobs, chunks, doc_ids, forget, give_back, grouped, pieces, unused, utf8_buffers, written
+from loomgraph.llm.windows import PACKED_ROWS, pack, packed_rows, unpack
 
 NEAR, NEAR_ALL = 12, 20
 SHARES = (3, 2, 2, 2)
@@ -181,7 +181,6 @@ def parts_of(nodes: int) -> tuple[int, int]:
 def _send(parts: int, splits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         golay = Golay.get()
-        schema = pa.schema([("bucket", pa.int32()), ("packed", pa.binary())])
         for whole in batches:
             for at in range(0, whole.num_rows, 1 << 13):
                 batch = whole.slice(at, 1 << 13)
@@ -208,7 +207,7 @@ def _send(parts: int, splits: int):
                         if len(arrays[0]) or len(arrays[4]):
                             keys.append(w * parts * splits + p)
                             rows.append(pack(*arrays))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(rows, pa.binary())], schema=schema)
+                yield from packed_rows(keys, rows, 4 * parts * splits).to_batches()
         give_back()
 
     return run
@@ -330,12 +329,14 @@ def near_groups(docs: DataFrame) -> DataFrame:
     prints = written(fingerprints(docs).distinct(), "fingerprints")
     nodes = written(prints.groupBy("low", "high").agg(F.min("doc_id").alias("node")), "nodes")
     parts, splits = parts_of(nodes.count())
-    found = grouped(nodes.mapInArrow(_send(parts, splits), "bucket int, packed binary"), 4 * parts * splits).applyInArrow(_meet, "src long, dst long")
+    found = grouped(nodes.mapInArrow(_send(parts, splits), PACKED_ROWS), 4 * parts * splits).applyInArrow(_meet, "src long, dst long")
     # copies of one fingerprint are put under their node once, and don't take part in the rounds
     of = written(prints.join(nodes, ["low", "high"]).select("doc_id", "node"), "members")
     several = of.groupBy("doc_id").agg(F.min("node").alias("dst"), F.count("*").alias("n")).where("n > 1").select("doc_id", "dst")
     shared = of.join(several, "doc_id").select(F.col("node").alias("src"), "dst")
     linked_nodes = components(found.union(shared))
+    forget(prints)
+    forget(nodes)
     members = of.join(linked_nodes, "node", "left").select("doc_id", F.coalesce("root", "node").alias("group_id")).distinct()
     counts = members.groupBy("group_id").agg(F.count("*").alias("n_docs")).where("n_docs > 1")
     return members.join(counts, "group_id").select("doc_id", "group_id", "n_docs", (F.col("doc_id") == F.col("group_id")).alias("keep"))

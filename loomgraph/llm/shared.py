@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.session import forget, read, shared_dir, written
 
-__all__ = ["blobs", "chunks", "doc_ids", "forget", "give_back", "pieces", "plan_bytes", "prime", "read", "shared_dir", "unused", "utf8_buffers", "written"]
+__all__ = ["blobs", "chunks", "doc_ids", "forget", "give_back", "grouped", "parts", "pieces", "plan_bytes", "prime", "read", "shared_dir", "unused", "utf8_buffers", "written"]
 
 #: Text handed to one vectorised step; bounds the scratch arrays of a Python worker.
 CHUNK_BYTES = 1 << 20
@@ -98,3 +99,39 @@ def doc_ids(batch: pa.RecordBatch, column: str = "doc_id") -> tuple[np.ndarray,
     ids = batch.column(column)
     ok = np.ones(len(ids), bool) if not ids.null_count else np.asarray(ids.is_valid())
     return np.asarray(ids.fill_null(0).cast(pa.int64())), ok
+
+
+#: Tasks of an exchange at most; with more buckets a task takes several, one after the other.
+MOST_TASKS = 1 << 15
+
+
+@lru_cache(8)
+def _slots(tasks: int) -> np.ndarray:
+    found = np.full(tasks, -1, np.int64)
+    at = 0
+    while (found < 0).any():
+        x = np.arange(at, at + 4 * tasks + 64, dtype=np.uint32)
+        at += len(x)
+        # Spark's hash of an int, Murmur3 with seed 42
+        k = x * np.uint32(0xCC9E2D51)
+        k = (k << np.uint32(15) | k >> np.uint32(17)) * np.uint32(0x1B873593)
+        h = np.uint32(42) ^ k
+        h = (h << np.uint32(13) | h >> np.uint32(19)) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
+        h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+        h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+        h ^= h >> np.uint32(16)
+        to = h.view(np.int32).astype(np.int64) % tasks
+        found[to[::-1]] = np.where(found[to[::-1]] < 0, x[::-1], found[to[::-1]])
+    return found.astype(np.int32)
+
+
+def parts(buckets: np.ndarray, n: int) -> np.ndarray:
+    """For each of n buckets a number that Spark's hash sends to a task of its own (of min(n, MOST_TASKS)), so that no
+    task gets several buckets by chance while another has none.  Buckets from n on are those of n less."""
+    tasks = min(n, MOST_TASKS)
+    return _slots(tasks)[np.asarray(buckets) % n % tasks]
+
+
+def grouped(rows: DataFrame, n: int):
+    """Rows (part, bucket, ...) by part and bucket, in as many tasks as follow the input (not the session's setting)."""
+    return rows.repartition(min(n, MOST_TASKS), "part").groupBy("part", "bucket")

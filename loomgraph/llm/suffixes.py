@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import textscan
-from loomgraph.llm.shared import blobs, chunks, doc_ids, give_back, pieces, plan_bytes, prime, shared_dir, utf8_buffers
-from loomgraph.llm.windows import LENGTH, PACKED, bucket_of, by_document, combined, grouped, pack, placed, places, repeated, shifted, spans_of, unpack, unplaced
+from loomgraph.llm.shared import MOST_TASKS, blobs, chunks, doc_ids, give_back, grouped, parts, pieces, plan_bytes, prime, shared_dir, utf8_buffers
+from loomgraph.llm.windows import LENGTH, PACKED, PACKED_ROWS, bucket_of, by_document, combined, pack, packed_rows, placed, places, repeated, shifted, spans_of, unpack, unplaced
 
 #: Words of an anchor, and Parquet bytes of text whose segments make a block.
 K = 12
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Rows of the columns that are read or written at once.
 ROWS = 1 << 17
 
@@ -120,13 +120,13 @@ def _hits(docs: pa.Table, found: pa.Table, length: int, k: int) -> Iterator[tupl
 def _segments(length: int, k: int, blocks: int):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         if not docs.num_rows or not found.num_rows:
-            return pa.table([[], []], schema=PACKED)
+            return PACKED.empty_table()
         parts, base = [], 0
         for h, d, p, at, anchor, gram, words in _hits(docs, found, length, k):
             parts.append((h, d, p, at + base, anchor + base, gram, words))
             base += len(words)
         if not parts:
-            return pa.table([[], []], schema=PACKED)
+            return PACKED.empty_table()
         h, d, p, at, anchor, gram, words = map(np.concatenate, zip(*parts))
         del parts
         keep, again, later = combined(h, d, p)
@@ -152,7 +152,7 @@ def _segments(length: int, k: int, blocks: int):
             flat = np.arange(s.sum()) + np.repeat(begin[i:j] - np.cumsum(s) + s, s)
             values.append(pack(doc[i:j], pos[i:j].astype(np.uint32), s.astype(np.uint16), marks[i:j], words[flat]))
         give_back()
-        return pa.concat_tables([out, pa.table([pa.array(keys, pa.int32()), pa.array(values, pa.binary())], schema=PACKED)])
+        return pa.concat_tables([out, packed_rows(keys, values, blocks)])
 
     return run
 
@@ -368,8 +368,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     """See the module's text.  Returns doc_id, kind, start_word, end_word (exclusive), n_words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = prime(pieces(plan_bytes(docs), BLOCK_BYTES, 16))
-    found = grouped(docs.mapInArrow(_scan(length, k, n), "bucket int, packed binary"), -(-n // 2)).applyInArrow(_repeated_anchors(n), "bucket int, packed binary")
-    owned = docs.where("doc_id IS NOT NULL").withColumn("bucket", F.expr(f"cast(pmod(doc_id, {n}) as int)"))
-    segments = grouped(owned, n).cogroup(grouped(found, n)).applyInArrow(_segments(length, k, n), "bucket int, packed binary")
-    blocks = grouped(segments, n).applyInArrow(_blocks(length, n, shared_dir(docs.sparkSession)), "bucket int, packed binary")
-    return spans_of(blocks, length, -(-n // 4))
+    found = grouped(docs.mapInArrow(_scan(length, k, n), PACKED_ROWS), n).applyInArrow(_repeated_anchors(n), PACKED_ROWS)
+    tasks = min(n, MOST_TASKS)
+    owners = docs.sparkSession.createDataFrame(list(enumerate(parts(np.arange(tasks), tasks).tolist())), "task int, part int")  # one row a task
+    owned = docs.where("doc_id IS NOT NULL").withColumn("task", F.expr(f"cast(pmod(doc_id, {n}) % {tasks} as int)")).join(F.broadcast(owners), "task").drop("task")
+    segments = owned.repartition(tasks, "part").groupBy("part").cogroup(found.repartition(tasks, "part").groupBy("part")).applyInArrow(_segments(length, k, n), PACKED_ROWS)
+    blocks = grouped(segments, n).applyInArrow(_blocks(length, n, shared_dir(docs.sparkSession)), PACKED_ROWS)
+    return spans_of(blocks, length, n)

@@ -33,15 +33,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.llm import textscan
-from loomgraph.llm.shared import blobs, chunks, doc_ids, give_back, pieces, plan_bytes, prime, unused, utf8_buffers
+from loomgraph.llm.shared import blobs, chunks, doc_ids, give_back, grouped, parts, pieces, plan_bytes, prime, unused, utf8_buffers
 
 LENGTH = 50
 #: Parquet bytes of text whose windows make a bucket, and windows that a scan task packs at once.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
 PACK = 1 << 20
 
 INTERVALS = "doc_id long, kind string, start_word int, end_word int, n_words int"
-PACKED = pa.schema([("bucket", pa.int32()), ("packed", pa.binary())])
+PACKED = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("packed", pa.binary())])
+PACKED_ROWS = "part int, bucket int, packed binary"
 
 
 def pack(*arrays: np.ndarray, squeeze: bool = False) -> bytes:
@@ -67,6 +68,10 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def packed_rows(buckets: list[int] | np.ndarray, rows: list[bytes], n: int) -> pa.Table:
+    return pa.table([pa.array(parts(np.asarray(buckets, np.int64), n)), pa.array(buckets, pa.int32()), pa.array(rows, pa.binary())], schema=PACKED)
+
+
 def owner(docs: np.ndarray, groups: int) -> np.ndarray:
     """The group of a document, Spark's pmod(doc_id, groups)."""
     return docs % groups
@@ -95,7 +100,7 @@ def combined(h: np.ndarray, d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, n
 
 
 def places(hashes: np.ndarray, docs: np.ndarray, pos: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, packed): the least place of each hash, marked where it has others, by bucket of the hash (positions
+    """Rows (part, bucket, packed): the least place of each hash, marked where it has others, by bucket of the hash (positions
     within a run of a document ascending); and the others as later copies, by `buckets` plus the document's owner."""
     if not len(hashes):
         return
@@ -123,7 +128,7 @@ def places(hashes: np.ndarray, docs: np.ndarray, pos: np.ndarray, buckets: int)
             step = step.astype(np.uint16 if step.max(initial=0) < 1 << 16 else np.uint64)
             keys.append(k)
             rows.append(pack(hashes[i:j], step, np.frombuffer(pack(d[new], runs, squeeze=True), np.uint8)))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(rows, pa.binary())], schema=PACKED)
+        yield from packed_rows(keys, rows, buckets).to_batches()
 
 
 def unplaced(packed: list[pa.Buffer]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -191,7 +196,7 @@ def repeated(h: np.ndarray, d: np.ndarray, p: np.ndarray, marked: np.ndarray) ->
 
 
 def by_document(d: np.ndarray, p: np.ndarray, later: np.ndarray, groups: int) -> pa.Table:
-    """Rows (bucket, packed) of places, by the owner of the document."""
+    """Rows (part, bucket, packed) of places, by the owner of the document."""
     g = owner(d, groups)
     order = np.lexsort((p, d, g))
     d, g, code = d[order], g[order], (p[order] << 1) | later[order]
@@ -202,7 +207,7 @@ def by_document(d: np.ndarray, p: np.ndarray, later: np.ndarray, groups: int) ->
         i, j = cut[k], cut[k + 1]
         new = np.flatnonzero(np.r_[True, d[i + 1 : j] != d[i : j - 1]])
         rows.append(pack(d[i:j][new], np.diff(np.r_[new, j - i]).astype(np.uint32), code[i:j].astype(np.uint32), squeeze=True))
-    return pa.table([pa.array(keys, pa.int32()), pa.array(rows, pa.binary())], schema=PACKED)
+    return packed_rows(keys, rows, groups)
 
 
 def placed(packed: list[pa.Buffer]) -> tuple[np.ndarray, np.ndarray]:
@@ -216,8 +221,8 @@ def placed(packed: list[pa.Buffer]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shifted(table: pa.Table, by: int) -> pa.Table:
-    """Rows (bucket, packed) with their buckets moved."""
-    return table.set_column(0, PACKED.field(0), pa.compute.add(table.column("bucket"), pa.scalar(by, pa.int32())).cast(pa.int32()))
+    """Rows (part, bucket, packed) with their buckets moved."""
+    return table.set_column(1, PACKED.field(1), pa.compute.add(table.column("bucket"), pa.scalar(by, pa.int32())).cast(pa.int32()))
 
 
 def _count(groups: int):
@@ -264,22 +269,17 @@ def _merge(length: int):
     return run
 
 
-def grouped(rows: DataFrame, tasks: int):
-    """The rows by bucket, in as many tasks as follow the input (not the session's setting)."""
-    return rows.repartition(tasks, "bucket").groupBy("bucket")
-
-
-def spans_of(places_by_document: DataFrame, length: int, tasks: int) -> DataFrame:
-    return grouped(places_by_document, tasks).applyInArrow(_merge(length), INTERVALS)
+def spans_of(places_by_document: DataFrame, length: int, n: int) -> DataFrame:
+    return grouped(places_by_document, n).applyInArrow(_merge(length), INTERVALS)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """See the module's text.  Returns doc_id, kind, start_word, end_word (exclusive), n_words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = prime(pieces(plan_bytes(docs), BUCKET_BYTES, 16))
-    packed = docs.mapInArrow(_scan(length, n), "bucket int, packed binary")
-    counted = grouped(packed, n).applyInArrow(_count(n), "bucket int, packed binary")
-    return spans_of(counted, length, -(-n // 4))
+    packed = docs.mapInArrow(_scan(length, n), PACKED_ROWS)
+    counted = grouped(packed, n).applyInArrow(_count(n), PACKED_ROWS)
+    return spans_of(counted, length, n)
 
 
 def oracle(length: int = LENGTH) -> str:

@@ -154,6 +154,18 @@ def test_collection_bwt(tmp_path_factory, segments):
         assert lcp[r] == common
 
 
+@pytest.mark.parametrize("n", [1, 5, 17, 40])
+def test_parts_have_tasks_of_their_own(spark, n):
+    from pyspark.sql import functions as F
+
+    from loomgraph.llm.shared import parts
+
+    found = parts(np.arange(n), n)
+    rows = spark.createDataFrame([(i, int(x)) for i, x in enumerate(found)], "i int, part int").repartition(n, "part")
+    assert sorted(r[0] for r in rows.groupBy(F.spark_partition_id()).count().select("count").collect()) == [1] * n
+    assert (parts(np.arange(n) + n, n) == found).all()
+
+
 def test_words_and_rolling_hash():
     import pyarrow as pa
 
