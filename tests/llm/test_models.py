@@ -13,26 +13,36 @@ from tests.llm.conftest import sentence
 
 def plain_bits(data, known):
     """One decision after the other."""
-    slots = mixing.contexts(data, np.array([0, len(data)]))
+    slots, two = mixing.contexts(data, np.array([0, len(data)]), known.bits)
     tree, total = known.tree, 0.0
     for begin in range(0, len(data), mixing.SEGMENT):
-        w = np.full((mixing.GATES, mixing.PREDICTORS), mixing.START, np.float32)
+        w = np.tile(np.array(mixing.START, np.float32), (mixing.GATES, 1))
         a = (1 / (1 + np.exp(-(np.arange(mixing.STEPS_OF_MAP) - 16) / 2))).astype(np.float32)
+        counters = np.zeros(1 << mixing.OWN_BITS, np.float32)
         for i in range(begin, min(len(data), begin + mixing.SEGMENT)):
             letter = 0 if i == 0 or mixing.GAP[data[i - 1]] else 1
             for j in range(tree.first[data[i]], tree.first[data[i]] + tree.size[data[i]]):
-                x = np.array([t[s[i], tree.node[j]] for t, s in zip(known.tables, slots)], np.float32) / np.float32(16)
+                own = (int(two[i]) + int(tree.node[j]) * 0x9E3779B1) % (1 << 32) >> 32 - mixing.OWN_BITS
+                x = np.array([t[s[i], tree.node[j]] for t, s in zip(known.tables, slots)] + [0], np.float32) / np.float32(16)
+                x[3] = counters[own]
                 gate, bit = tree.depth[j] + 3 * letter, int(tree.bit[j])
                 dot = np.clip(np.einsum("ij,ij->i", x[None], w[gate][None]), np.float32(-8), np.float32(8))
                 p = (np.float32(1) / (np.float32(1) + np.exp(-dot)))[0]
                 k = int(np.rint(dot * np.float32(2) + np.float32(16))[0])
                 final = (p + a[k]) * np.float32(0.5)
                 total -= math.log2(abs((1 - bit) - final))
+                counters[own] += (np.float32(bit) - p) * np.float32(mixing.OWN_RATE)
                 w[gate] += x * ((np.float32(bit) - p) * np.float32(mixing.RATE))
                 a[k] += (np.float32(bit) - a[k]) * np.float32(mixing.REFINE)
     return total
 
 
+def test_tables_grow_with_the_corpus():
+    sizes = [sum(1 << b for b in mixing.table_bits(n)) for n in (0, 1 << 20, 1 << 26, 1 << 28, 1 << 30, 1 << 34, 1 << 50)]
+    assert sizes == sorted(sizes) and sizes[1] < sizes[2] < sizes[3] < sizes[4] == sizes[6] or sizes[4] < sizes[5] == sizes[6]
+    assert 256 * sizes[-1] <= 136 << 20
+
+
 def test_scores(documents, rng):
     rows = [(i, sentence(rng, 60, 50)) for i in range(40)] + [(90, None), (91, ""), (None, "null id"), (92, sentence(rng, 3000, 50)), (93, "é中🙂" * 20), (94, "".join(chr(rng.randrange(33, 127)) for _ in range(400))), (1, "again")]
     docs = documents(rows)
