@@ -8,7 +8,7 @@ report(): a row for each span: doc_id, item_id, start_word, end_word (exclusive)
 cleaned(): the documents without those spans (action 'span': the characters from the first to the last word of each
 span are cut; documents of which only white space is left go), or without the documents that have one (action 'document').
 
-Plan: no shuffle.  The benchmark's n-grams are counted; while they number at most `most_grams`, hashes, items and texts
+Plan: no shuffle of texts or windows (report() makes its spans distinct, which shuffles these).  The benchmark's n-grams are counted; while they number at most `most_grams`, hashes, items and texts
 are collected and broadcast (some 24 bytes an n-gram).  The scan hashes windows with prefix sums and looks them up in a
 sorted array behind a bit table.  The words of a hit are then compared with the item's.  Beyond that, report() and
 cleaned() scan with the bit table alone and join the windows it lets through with the n-grams by their words.
@@ -244,8 +244,11 @@ def _cleaned(grams, action: str):
                 yield batch.filter(pa.array(keep))
                 continue
             texts = batch.column("text").to_pylist()
-            for r in rows:
-                texts[r] = cut_spans(texts[r], [(a, b) for x, _, a, b in spans if x == r])
+            of: dict[int, list[tuple[int, int]]] = {}
+            for r, _, a, b in spans:
+                of.setdefault(r, []).append((a, b))
+            for r, cuts in of.items():
+                texts[r] = cut_spans(texts[r], cuts)
             at = batch.schema.get_field_index("text")
             batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
             left = np.ones(batch.num_rows, bool)
