@@ -12,7 +12,7 @@ no more than its share (SHARES: 3, 2, 2 or 2 bits, as 4 + 3 + 3 + 3 = 12 + 1).
 of its four words, to its own anchor as a home, and to every anchor within 3 + share as a visitor; two near copies meet
 at the home anchor of either.  The search is exact.
 
-Documents with one fingerprint are one node of the search.  Anchors are put in as many parts as make a part PART_BYTES;
+Documents with one fingerprint are one node of the search.  Anchors are put in as many parts as make a part PART_BYTES at most;
 where there are not anchors enough, a part's visitors are split, and its homes go to each split.  In a part a union-find
 leaves one edge a node, not all pairs, and nodes that are known to be linked aren't compared: a group of very many near
 copies is linked by a few of its nodes, and its others are compared with those outside of it only (linked()).  Components
@@ -42,7 +42,9 @@ NEAR, NEAR_ALL = 12, 20
 SHARES = (3, 2, 2, 2)
 #: Bytes that a fingerprint takes at the anchors it is sent to, and bytes of a part.
 SENT_BYTES, PART_BYTES = 3800, 4 << 20
-ANCHORS = 1 << 12
+#: Anchors of a word, and parts of them at least: with so many, a part gets few of a fingerprint's anchors, so that what is
+#: sent follows the input.
+ANCHORS, LEAST_PARTS = 1 << 12, 256
 
 #: Bytes that end a word: ASCII other than letters and digits.
 GAP = np.ones(256, bool)
@@ -172,13 +174,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_prints, "doc_id long, low long, high long")
 
 
-def parts_of(nodes: int) -> tuple[int, int]:
-    """Parts of each word's anchors, and splits of each part's visitors."""
+def parts_of(nodes: int) -> tuple[int, int, int]:
+    """Parts of each word's anchors, splits of each part's visitors, and tasks."""
     n = pieces(nodes * SENT_BYTES, 4 * PART_BYTES)
-    return min(n, ANCHORS), pieces(n, ANCHORS)
+    return min(max(n, LEAST_PARTS), ANCHORS), pieces(n, ANCHORS), max(8, 4 * n)
 
 
-def _send(parts: int, splits: int):
+def _send(parts: int, splits: int, tasks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         golay = Golay.get()
         for whole in batches:
@@ -207,7 +209,7 @@ def _send(parts: int, splits: int):
                         if len(arrays[0]) or len(arrays[4]):
                             keys.append(w * parts * splits + p)
                             rows.append(pack(*arrays))
-                yield from packed_rows(keys, rows, 4 * parts * splits).to_batches()
+                yield from packed_rows(keys, rows, 4 * parts * splits, tasks).to_batches()
         give_back()
 
     return run
@@ -328,8 +330,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """See the module's text.  Returns doc_id, group_id, n_docs, keep."""
     prints = written(fingerprints(docs).distinct(), "fingerprints")
     nodes = written(prints.groupBy("low", "high").agg(F.min("doc_id").alias("node")), "nodes")
-    parts, splits = parts_of(nodes.count())
-    found = grouped(nodes.mapInArrow(_send(parts, splits), PACKED_ROWS), 4 * parts * splits).applyInArrow(_meet, "src long, dst long")
+    parts, splits, tasks = parts_of(nodes.count())
+    found = grouped(nodes.mapInArrow(_send(parts, splits, tasks), PACKED_ROWS), tasks).applyInArrow(_meet, "src long, dst long")
     # copies of one fingerprint are put under their node once, and don't take part in the rounds
     of = written(prints.join(nodes, ["low", "high"]).select("doc_id", "node"), "members")
     several = of.groupBy("doc_id").agg(F.min("node").alias("dst"), F.count("*").alias("n")).where("n > 1").select("doc_id", "dst")

@@ -125,10 +125,10 @@ def _slots(tasks: int) -> np.ndarray:
     return found.astype(np.int32)
 
 
-def parts(buckets: np.ndarray, n: int) -> np.ndarray:
-    """For each of n buckets a number that Spark's hash sends to a task of its own (of min(n, MOST_TASKS)), so that no
-    task gets several buckets by chance while another has none.  Buckets from n on are those of n less."""
-    tasks = min(n, MOST_TASKS)
+def parts(buckets: np.ndarray, n: int, tasks: int = MOST_TASKS) -> np.ndarray:
+    """For each of n buckets a number that Spark's hash sends to a task of its own (of `tasks`, or n if that is less), so
+    that no task gets many buckets by chance while another has none.  Buckets from n on are those of n less."""
+    tasks = min(n, tasks)
     return _slots(tasks)[np.asarray(buckets) % n % tasks]
 
 

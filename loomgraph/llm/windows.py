@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.llm import textscan
-from loomgraph.llm.shared import blobs, chunks, doc_ids, give_back, grouped, parts, pieces, plan_bytes, prime, unused, utf8_buffers
+from loomgraph.llm.shared import MOST_TASKS, blobs, chunks, doc_ids, give_back, grouped, parts, pieces, plan_bytes, prime, unused, utf8_buffers
 
 LENGTH = 50
 #: Parquet bytes of text whose windows make a bucket, and windows that a scan task packs at once.
@@ -68,8 +68,8 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def packed_rows(buckets: list[int] | np.ndarray, rows: list[bytes], n: int) -> pa.Table:
-    return pa.table([pa.array(parts(np.asarray(buckets, np.int64), n)), pa.array(buckets, pa.int32()), pa.array(rows, pa.binary())], schema=PACKED)
+def packed_rows(buckets: list[int] | np.ndarray, rows: list[bytes], n: int, tasks: int = MOST_TASKS) -> pa.Table:
+    return pa.table([pa.array(parts(np.asarray(buckets, np.int64), n, tasks)), pa.array(buckets, pa.int32()), pa.array(rows, pa.binary())], schema=PACKED)
 
 
 def owner(docs: np.ndarray, groups: int) -> np.ndarray:
