@@ -1,4 +1,4 @@
-"""Text functions as Column expressions: they stay in whole-stage code."""
+"""Text functions as Column expressions: they run in the JVM (those with lambdas outside of whole-stage code)."""
 
 from __future__ import annotations
 

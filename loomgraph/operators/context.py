@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph import schema as S
@@ -64,37 +65,89 @@ def top_functions(nodes: DataFrame, k: int = 15) -> DataFrame:
 
 
 def conventions(names: DataFrame) -> DataFrame:
-    """One row: shares of snake, dotted and camel names(name), their number, and the style they show."""
-    snake, dot, camel = (F.avg(F.col("name").rlike(p).cast("int")) for p in ("^[a-z][a-z0-9]*(_[a-z0-9]+)+$", r"^[a-z][a-z0-9]*(\.[a-z0-9]+)+$", "^[a-z]+([A-Z][a-z0-9]*)+$"))
-    out = names.agg(F.count("*").alias("n"), snake.alias("snake"), dot.alias("dot"), camel.alias("camel"))
-    style = F.when(F.col("n") <= 5, "unknown").when(F.col("snake") > 0.4, "snake_case").when(F.col("dot") > 0.4, "dot.case").when(F.col("camel") > 0.2, "camelCase").otherwise("mixed")
-    return out.withColumn("style", style)
+    """One row: n names(name), the shares of those with an underscore, a dot and a hump within, and the style they show.
 
+    Of more than five names, over 40 per cent with an underscore or over 20 with a hump show snake case or camel case if the
+    other doesn't hold; else over 40 with a dot show dotted names.
+    """
+    shown = names.where("name <> ''")
+    parts = {kind: F.coalesce(F.avg(F.col("name").rlike(p).cast("int")), F.lit(0.0)).alias(kind) for kind, p in (("snake", "_"), ("dot", r"\."), ("camel", "[a-z][A-Z]"))}
+    out = shown.agg(F.count("*").alias("n"), *parts.values())
+    snake, dot, camel = F.col("snake") > 0.4, F.col("dot") > 0.4, F.col("camel") > 0.2
+    return out.withColumn("style", F.when(F.col("n") <= 5, "unknown").when(snake & ~camel, "snake_case").when(camel & ~snake, "camelCase").when(dot, "dot.case").otherwise("mixed"))
 
-def instructions(project: str, kind: str, nodes: DataFrame, edges: DataFrame, packages: Sequence[str] = (), max_tokens: int = 2000) -> str:
-    """A Markdown report on the project, cut to max_tokens."""
+
+def pipe_counts(lines: DataFrame) -> DataFrame:
+    """One row: how many lines(line) have each pipe, and the one that is used more ('none' without any)."""
+    native, magrittr = (F.coalesce(F.sum(F.col("line").contains(p).cast("long")), F.lit(0)) for p in ("|>", "%>%"))
+    out = lines.agg(native.alias("native"), magrittr.alias("magrittr"))
+    return out.withColumn("style", F.when(F.col("native") + F.col("magrittr") == 0, "none").when(F.col("native") >= F.col("magrittr"), "native |>").otherwise("magrittr %>%"))
+
+
+def instructions(project: str, kind: str, nodes: DataFrame, edges: DataFrame, packages: Sequence[tuple[str, str]] = (), max_tokens: int = 2000, pipe: str = "none", tested: bool = False) -> str:
+    """A Markdown report on the project, cut to max_tokens; packages are (name, version)."""
     if max_tokens < 100:
         raise ValueError("max_tokens must be 100 at least")
     n_nodes, n_edges = nodes.count(), edges.count()
     top = top_functions(nodes).collect()  # fifteen rows
-    style = conventions(nodes.where(F.col("node_type") == S.FUNCTION).select(F.regexp_replace("name", "^.*::", "").alias("name"))).first()
-    lines = [f"# Instructions for {project}", "", "## Overview", f"- Type: {kind}", f"- Nodes: {n_nodes}, edges: {n_edges}", "", "## Main functions", *[f"- `{r['name']}` ({r.pagerank:.4f})" for r in top], "", "## Conventions", f"- Names: {style.style if style else 'unknown'}", "", "## Dependencies", *[f"- {p}: unknown" for p in packages]]
+    style = conventions(nodes.select(F.regexp_replace("name", "^.*::", "").alias("name"))).first().style
+    habits = [f"Names: {style}"] if style not in ("unknown", "mixed") else []
+    habits += ["Tests: testthat"] if tested else []
+    habits += [f"Pipe: {pipe}"] if pipe != "none" else []
+    lines = [f"# Instructions for {project}", "", "## Overview", f"- Type: {kind}", f"- Nodes: {n_nodes}, edges: {n_edges}", "", "## Main functions"]
+    lines += [f"- `{r['name']}` ({round(r.pagerank, 6)})" for r in top] or ["None."]
+    lines += ["", "## Conventions", *([f"- {h}" for h in habits] or ["- None that stand out."]), "", "## Dependencies", *([f"- {p}: {v}" for p, v in packages] or ["None."])]
     text = "\n".join(lines) + "\n"
     if len(text) > math.ceil(3.5 * max_tokens):
         text = truncated(text, max_tokens) + "\n_Cut to the token budget._\n"
     return text
 
 
+def shown_context(found: dict) -> str:
+    """Seed, first nodes and tokens of a context (build.ask()'s result)."""
+    names = [n for n, _, _ in found["nodes"]]
+    few = ", ".join(names[:5]) + (", ..." if len(names) > 5 else "")
+    return f"<context of {found['seed_node']}: {len(names)} nodes ({few}), {found['tokens_used']} of {found['budget_tokens']} tokens>"
+
+
+def context_summary(found: dict) -> dict:
+    """Tokens, the share of the budget that is used (per cent), and the five nodes of highest score."""
+    ranked = sorted(((n, s) for n, s, _ in found["nodes"]), key=lambda x: -x[1])[:5]
+    used, budget = found["tokens_used"], found["budget_tokens"]
+    return {"tokens_used": used, "budget_tokens": budget, "utilisation": round(100 * used / max(budget, 1), 1), "seed_node": found["seed_node"], "top": [(n, round(s, 4)) for n, s in ranked]}
+
+
+def node_context(name: str, nodes: DataFrame, edges: DataFrame, mode: str = "auto") -> str:
+    """A node's text: compressed for packages or if asked for, else in full ('auto', 'full'); a warning and '' without it."""
+    if mode not in ("auto", "full", "compressed"):
+        raise ValueError(mode)
+    one = nodes.where(F.col("name") == name)
+    row = one.select("node_type").first()
+    if row is None:
+        warnings.warn(f"no node {name}", stacklevel=2)
+        return ""
+    short = mode == "compressed" or row.node_type == S.PACKAGE
+    return (compressed_context(one, edges) if short else full_context(one)).first().context
+
+
 COLOURS = {S.FUNCTION: "#4C78A8", S.PACKAGE: "#F58518", S.TESTFILE: "#54A24B"}
+EDGE_COLOURS = {S.IMPORTS: "#F58518", S.TESTS: "#54A24B"}
 
 
 def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """line_no, line: a Graphviz drawing; width by PageRank from 0.4 to 2 (0.8 if all are equal, 0.3 for packages and tests)."""
+    """line_no order: a Graphviz drawing; width by PageRank from 0.4 to 2 (0.8 if all are equal, 0.3 for packages and tests);
+    functions are put together by the part of their name before '::'; edges are coloured by type."""
     span = nodes.agg(F.min("pagerank").alias("low"), F.max("pagerank").alias("high"))
     width = F.when(F.col("node_type") != S.FUNCTION, 0.3).when(F.col("high") > F.col("low"), 0.4 + 1.6 * (F.col("pagerank") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.8)
-    colour = F.coalesce(F.create_map(*[F.lit(x) for kv in COLOURS.items() for x in kv])[F.col("node_type")], F.lit("#999999"))
+
+    def of(colours: dict, column: str, other: str) -> Column:
+        return F.coalesce(F.create_map(*[F.lit(x) for kv in colours.items() for x in kv])[F.col(column)], F.lit(other))
+
     quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(c, '["\\\\]', "_"), F.lit('"'))
-    a = nodes.crossJoin(F.broadcast(span)).select(F.concat(F.lit("  "), quoted(F.col("name")), F.lit(" [label="), quoted(F.regexp_replace("name", "^.*::", "")), F.format_string(", width=%.2f, fillcolor=\"%s\"];", width, colour)).alias("line"), F.lit(1).alias("k"), F.col("name").alias("key"))
-    b = edges.select(F.concat(F.lit("  "), quoted(F.col("src")), F.lit(" -> "), quoted(F.col("dst")), F.format_string(" [label=\"%s\"];", F.col("edge_type"))).alias("line"), F.lit(2).alias("k"), F.concat_ws(" ", "src", "dst", "edge_type").alias("key"))
-    ends = nodes.sparkSession.createDataFrame([("digraph project {", 0, ""), ("}", 3, "")], "line string, k int, key string")
-    return a.union(b).union(ends).orderBy("k", "key")
+    a = nodes.crossJoin(F.broadcast(span)).select(F.concat(F.lit("  "), quoted(F.col("name")), F.lit(" [label="), quoted(F.regexp_replace("name", "^.*::", "")), F.format_string(", width=%.2f, fillcolor=\"%s\"];", width, of(COLOURS, "node_type", "#999999"))).alias("line"), F.lit(1).alias("k"), F.col("name").alias("key"))
+    group = F.when(F.col("name").contains("::"), F.regexp_extract("name", "^(.*?)::", 1)).otherwise("other")
+    members = nodes.where(F.col("node_type") == S.FUNCTION).groupBy(group.alias("key")).agg(F.array_join(F.sort_array(F.collect_list(quoted(F.col("name")))), "; ").alias("names"))
+    c = members.select(F.concat(F.lit("  subgraph "), quoted(F.concat(F.lit("cluster_"), "key")), F.lit(" { label="), quoted(F.col("key")), F.lit("; "), "names", F.lit("; }")).alias("line"), F.lit(2).alias("k"), "key")
+    b = edges.select(F.concat(F.lit("  "), quoted(F.col("src")), F.lit(" -> "), quoted(F.col("dst")), F.format_string(" [label=\"%s\", color=\"%s\"];", F.col("edge_type"), of(EDGE_COLOURS, "edge_type", "#888888"))).alias("line"), F.lit(3).alias("k"), F.concat_ws(" ", "src", "dst", "edge_type").alias("key"))
+    ends = nodes.sparkSession.createDataFrame([("digraph project {", 0, ""), ("}", 4, "")], "line string, k int, key string")
+    return a.union(c).union(b).union(ends).orderBy("k", "key")

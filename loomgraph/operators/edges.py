@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 from loomgraph import schema as S
 from loomgraph.functions.text import captures2
 
-LIBRARY = r"""(?:library|require)\s*\(\s*["']?([A-Za-z][A-Za-z0-9.]*)["']?"""
-QUALIFIED = r"([A-Za-z][A-Za-z0-9.]*):::?[A-Za-z._]"
+LIBRARY = r"""(?:library|require)\s*\(\s*["']?([A-Za-z][\w.]*)["']?\s*\)"""
+QUALIFIED = r"([A-Za-z][\w.]*):::?[A-Za-z._]"
 
 
 def bare(symbol):
@@ -36,7 +36,9 @@ def test_edges(nodes: DataFrame, tests: DataFrame) -> DataFrame:
 
 
 def import_edges(lines: DataFrame, dependencies: DataFrame | None = None) -> DataFrame:
-    """lines(stem, line) of sources; dependencies(stem, package) of metadata: src, dst, weight, source; distinct."""
+    """lines(stem, line) of sources; dependencies(stem, package) of metadata: src, dst, weight, source; distinct, in order.
+
+    A library call counts if the name is its only argument."""
 
     def found(pattern: str, source: str) -> DataFrame:
         return lines.select(F.col("stem").alias("src"), F.explode(F.regexp_extract_all("line", F.lit(pattern), F.lit(1))).alias("dst")).where("dst <> ''").withColumn("source", F.lit(source))
@@ -44,7 +46,7 @@ def import_edges(lines: DataFrame, dependencies: DataFrame | None = None) -> Dat
     out = found(LIBRARY, "library").unionByName(found(QUALIFIED, "qualified"))
     if dependencies is not None:
         out = out.unionByName(dependencies.select(F.col("stem").alias("src"), F.col("package").alias("dst"), F.lit("description").alias("source")))
-    return out.select("src", "dst", F.lit(1.0).alias("weight"), "source").distinct()
+    return out.select("src", "dst", F.lit(1.0).alias("weight"), "source").distinct().orderBy("src", "dst", "source")
 
 
 def dependency_field(fields: DataFrame) -> DataFrame:
@@ -54,23 +56,29 @@ def dependency_field(fields: DataFrame) -> DataFrame:
     return each.where("package <> '' AND package <> 'R'").distinct()
 
 
-def cochange_edges(commits: DataFrame, nodes: DataFrame, min_cochanges: int = S.MIN_COCHANGES) -> DataFrame:
-    """commits(commit_id, file), nodes(id, file): both directions between the nodes of files that change together.
-
-    weight = min(1, commits with both / commits with a file).  The pair count is combined before its shuffle.
-    """
+def cochange_pairs(commits: DataFrame, nodes: DataFrame) -> DataFrame:
+    """commits(commit_id, file), nodes(file): f1 < f2, n commits with both, total commits.  n is combined before its shuffle."""
     rows = commits.where("file IS NOT NULL").select("commit_id", "file").distinct()
     total = rows.agg(F.greatest(F.countDistinct("commit_id"), F.lit(1)).alias("total"))
     known = rows.join(nodes.select("file").distinct(), "file", "left_semi")
     a, b = known.select("commit_id", F.col("file").alias("f1")), known.select("commit_id", F.col("file").alias("f2"))
-    pairs = a.join(b, "commit_id").where("f1 < f2").groupBy("f1", "f2").agg(F.count("*").alias("n")).where(F.col("n") >= min_cochanges)
-    pairs = pairs.crossJoin(F.broadcast(total)).select("f1", "f2", F.least(F.lit(1.0), F.col("n") / F.col("total")).alias("weight"))
+    return a.join(b, "commit_id").where("f1 < f2").groupBy("f1", "f2").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total))
+
+
+def edges_of_pairs(pairs: DataFrame, nodes: DataFrame, min_cochanges: int) -> DataFrame:
+    """Both directions between the nodes(id, file) of the pairs that are frequent enough; weight = min(1, n / total)."""
+    pairs = pairs.where(F.col("n") >= min_cochanges).select("f1", "f2", F.least(F.lit(1.0), F.col("n") / F.col("total")).alias("weight"))
     one = nodes.select(F.col("id").alias("src"), F.col("file").alias("f1"))
     two = nodes.select(F.col("id").alias("dst"), F.col("file").alias("f2"))
     there = pairs.join(one, "f1").join(two, "f2").select("src", "dst", "weight")
     return there.union(there.select("dst", "src", "weight")).distinct()
 
 
+def cochange_edges(commits: DataFrame, nodes: DataFrame, min_cochanges: int = S.MIN_COCHANGES) -> DataFrame:
+    """commits(commit_id, file), nodes(id, file): both directions between the nodes of files that change together."""
+    return edges_of_pairs(cochange_pairs(commits, nodes), nodes, min_cochanges)
+
+
 def dispatch_edges(nodes: DataFrame, methods: DataFrame) -> DataFrame:
     """nodes(id, name, node_pos), methods(name): homonyms of a dispatched name point to the first of them."""
     by = Window.partitionBy("name").orderBy("node_pos", "id")

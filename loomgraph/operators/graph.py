@@ -70,21 +70,59 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     return base.select("name", F.col("p").alias("pagerank"))
 
 
-def depths(nodes: DataFrame, edges: DataFrame, entries: DataFrame, edge_types: Sequence[str] | None = None, most: int = 1000) -> DataFrame:
-    """name, api_depth: fewest hops from an entry (name) along edges other than SEMANTIC; 99 where there is no way."""
+def union_all(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+def depths(nodes: DataFrame, edges: DataFrame, entries: DataFrame, edge_types: Sequence[str] | None = None) -> DataFrame:
+    """name, api_depth: fewest hops from an entry (name) along edges other than SEMANTIC; 99 where there is no way.
+
+    The distinct edges among the nodes are written once; a hop writes its front only, and goes on from that.  Fronts are put
+    together now and then, so that plans stay short on deep graphs.
+    """
     kept = edges
     if "edge_type" in edges.columns:
         kept = kept.where(F.col("edge_type").isin(*edge_types)) if edge_types else kept.where(F.col("edge_type") != S.SEMANTIC)
-    kept = kept.select("src", "dst").distinct()
-    seen = written(nodes.select("name").distinct().join(entries.select("name").distinct(), "name", "left_semi").select("name", F.lit(0).alias("api_depth")), "seen")
-    for hop in range(1, most):
-        front = seen.where(F.col("api_depth") == hop - 1)
-        new = kept.join(front, F.col("src") == F.col("name")).select(F.col("dst").alias("name")).distinct().join(seen, "name", "left_anti")
-        new = written(new.join(nodes.select("name").distinct(), "name", "left_semi").select("name", F.lit(hop).alias("api_depth")), "front")
-        if not new.take(1):
-            break
-        seen = written(seen.union(new), "seen")
-    return nodes.select("name").distinct().join(seen, "name", "left").select("name", F.coalesce("api_depth", F.lit(S.UNREACHABLE)).alias("api_depth"))
+    names = nodes.select("name").distinct()
+    kept = written(kept.select("src", "dst").distinct().join(names, F.col("dst") == F.col("name"), "left_semi"), "steps")
+    front = written(names.join(entries.select("name").distinct(), "name", "left_semi").select("name", F.lit(0).alias("api_depth")), "front")
+    fronts, hop = [front], 0
+    while front.take(1):
+        hop += 1
+        new = kept.join(front, F.col("src") == F.col("name")).select(F.col("dst").alias("name")).distinct().join(union_all(fronts), "name", "left_anti")
+        front = written(new.select("name", F.lit(hop).alias("api_depth")), "front")
+        fronts.append(front)
+        if len(fronts) > 16:
+            fronts, old = [written(union_all(fronts), "seen")], fronts
+            forget(*old[:-1])
+    forget(kept)
+    return names.join(union_all(fronts), "name", "left").select("name", F.coalesce("api_depth", F.lit(S.UNREACHABLE)).alias("api_depth"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the least node of the component of each node of the edges (src, dst), but for the least ones.
+
+    Large-star: each node's greater neighbours are linked to its least neighbour; small-star: its lesser ones and itself.
+    Each round is a table in the shared folder; the rounds end when one changes nothing (they number as the logarithm of
+    the nodes, squared at most).
+    """
+    edges, state = written(edges.where("src <> dst").distinct(), "edges"), None
+    while True:
+        both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        low = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("least"))
+        large = both.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("least").alias("dst")).where("src <> dst").distinct()
+        low = large.groupBy("src").agg(F.min("dst").alias("least"))
+        small = large.join(low, "src").select(F.col("dst").alias("src"), F.col("least").alias("dst")).where("src <> dst").union(low.select("src", F.col("least").alias("dst"))).distinct()
+        after = written(small, "edges")
+        now = after.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
+        forget(edges)
+        edges = after
+        if now == state or not now[0]:
+            return edges.select(F.col("src").alias("node"), F.col("dst").alias("root"))
+        state = now
 
 
 def candidates(nodes: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph import schema as S
+from loomgraph.operators.graph import union_all
+from loomgraph.session import written
 
 
 def clamp(c: Column) -> Column:
@@ -113,17 +115,17 @@ def query_contexts(queries: DataFrame, nodes: DataFrame, edges: DataFrame, hops:
     (as many as nodes may be added), so a query's group holds its neighbourhood; queries run in parallel.
     """
     hops = options.get("max_nodes", S.MAX_NODES) if hops is None else hops
-    reach = queries.select("query_id", F.col("start").alias("name"))
-    front = reach
-    steps = edges.where(F.col("edge_type") != S.SEMANTIC).select("src", "dst").distinct() if "edge_type" in edges.columns else edges.select("src", "dst").distinct()
+    front = queries.select("query_id", F.col("start").alias("name"))
+    steps = edges.where(F.col("edge_type") != S.SEMANTIC) if "edge_type" in edges.columns else edges
+    steps = written(steps.select("src", "dst").distinct(), "steps")
+    fronts = [front]
     for _ in range(hops):
-        new = front.join(steps, F.col("name") == F.col("src")).select("query_id", F.col("dst").alias("name")).distinct().join(reach, ["query_id", "name"], "left_anti")
-        from loomgraph.session import written
-
-        new = written(new, "reach")
-        if not new.take(1):
+        new = front.join(steps, F.col("name") == F.col("src")).select("query_id", F.col("dst").alias("name")).distinct()
+        front = written(new.join(union_all(fronts), ["query_id", "name"], "left_anti"), "reach")
+        if not front.take(1):
             break
-        reach, front = written(reach.union(new), "reach"), new
+        fronts.append(front)
+    reach = union_all(fronts)
     node_rows = reach.join(nodes, "name").select("query_id", F.lit("n").alias("kind"), F.col("name").alias("a"), F.lit(None).cast("string").alias("b"), F.col("static").alias("x"), F.col("cost").cast("double").alias("y"), F.col("full_cost").cast("double").alias("z"), "node_pos")
     inner = reach.select("query_id", F.col("name").alias("src")).join(edges, "src").select("query_id", F.when(F.col("edge_type") == S.CO_CHANGES, "c").otherwise("e").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), F.lit(0).cast("long").alias("node_pos"))
     starts = queries.select("query_id", F.lit("s").alias("kind"), F.col("start").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), F.lit(0).cast("long").alias("node_pos"))

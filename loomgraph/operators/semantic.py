@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomgraph.operators.graph import components
+from loomgraph.session import written
+
 #: Vectors of a block; a task multiplies two blocks.
 BLOCK = 4096
 
@@ -18,7 +21,7 @@ BLOCK = 4096
 def _pairs(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         here = table.column("block").to_numpy(), table.column("id").to_numpy()
-        v = np.array(table.column("v").to_pylist(), dtype=np.float64).reshape(table.num_rows, -1)
+        v = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
         norm = np.sqrt((v * v).sum(axis=1))
         v = np.divide(v, norm[:, None], out=np.zeros_like(v), where=norm[:, None] > 0)
         row = table.slice(0, 1)
@@ -60,8 +63,11 @@ def top_partners(found: DataFrame, k: int) -> DataFrame:
 def capped(found: DataFrame, cap: int, by_score: bool = True) -> DataFrame:
     """src, dst, weight: pairs taken in the order (a, score descending, b) while both ends have fewer than cap.
 
-    The rule is sequential: the pairs over the threshold (not all pairs) are folded in one task.
+    The rule is sequential, but pairs of different components don't meet: each component of the pairs over the threshold is
+    folded by itself.
     """
+    roots = components(found.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    labelled = found.join(roots, F.col("a") == F.col("node"), "left").select("a", "b", "score", F.coalesce("root", "a").alias("root"))
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["a", "score", "b"], ascending=[True, False, True]) if by_score else frame.sort_values(["a", "b"])
@@ -76,7 +82,7 @@ def capped(found: DataFrame, cap: int, by_score: bool = True) -> DataFrame:
         out = frame[keep]
         return pd.DataFrame({"src": out.a, "dst": out.b, "weight": out.score})
 
-    return found.groupBy().applyInPandas(fold, "src long, dst long, weight double")
+    return labelled.groupBy("root").applyInPandas(fold, "src long, dst long, weight double")
 
 
 def semantic_edges(vectors: DataFrame, threshold: float, cap: int = 5, limit: int | None = None, **names) -> DataFrame:
@@ -84,4 +90,4 @@ def semantic_edges(vectors: DataFrame, threshold: float, cap: int = 5, limit: in
     n = vectors.count()
     if n < 2 or (limit is not None and n > limit):
         return vectors.sparkSession.createDataFrame([], "src long, dst long, weight double")
-    return capped(pairs(vectors, threshold, **names), cap)
+    return capped(written(pairs(vectors, threshold, **names), "pairs"), cap)

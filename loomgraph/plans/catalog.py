@@ -45,14 +45,13 @@ def _docs(spark, sf):
 
 @query(f"WITH {POSTS} SELECT term, CAST(doc_count AS BIGINT) AS doc_count, CAST(term_count AS BIGINT) AS term_count FROM v")
 def tokenize_counts(spark, sf):
-    p = tfidf.postings(_docs(spark, sf))
-    return p.groupBy("term").agg(F.count("*").alias("doc_count"), F.sum("count").alias("term_count"))
+    return tfidf.term_counts(_docs(spark, sf)).select("term", "doc_count", "term_count")
 
 
 @query(f"WITH {POSTS} SELECT term, CAST(doc_count AS BIGINT) AS doc_count, CAST(term_count AS BIGINT) AS term_count, round(idf, 6) AS idf FROM v WHERE term_count >= 2 AND doc_count >= 2")
 def tfidf_vocab(spark, sf):
     d = _docs(spark, sf)
-    return tfidf.vocabulary(tfidf.postings(d), d.count(), 2, 2).withColumn("idf", F.round("idf", 6))
+    return tfidf.with_idf(tfidf.term_counts(d), d.count(), 2, 2).withColumn("idf", F.round("idf", 6)).select("term", "doc_count", "term_count", "idf")
 
 
 @query(f"WITH {POSTS}, r AS (SELECT doc AS doc_id, term, round(w, 9) AS w FROM w), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, term) AS rank FROM r) SELECT doc_id, CAST(rank AS INTEGER) AS rank, term, round(w, 6) AS w FROM k WHERE rank <= 3")

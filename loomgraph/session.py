@@ -12,6 +12,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of tables that read() deals out.
+SPREAD = (1 << 19, 1 << 25)
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -38,9 +40,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset (tests, local mode)."""
+    """The folder named by spark.checkpoint.dir; one of our own only where that is unset, on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="loomgraph-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -56,15 +60,26 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes a table made by written(), once nothing that is still to run reads it."""
-    path = getattr(df, "loomgraph_path", None)
-    if path:
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables made by written(), once nothing that is still to run reads them."""
+    for df in tables:
+        path = getattr(df, "loomgraph_path", None)
+        if not path:
+            continue
         spark = df.sparkSession
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def plan_size(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's bytes."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table.  One of a few MB is often a single row group, which one task would scan and all that follows: it is dealt out
+    to all cores.  Larger tables, whose scans have tasks enough, stay as they are."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    tasks = spark.sparkContext.defaultParallelism
+    return df.repartition(tasks) if SPREAD[0] <= plan_size(df) < SPREAD[1] and tasks > 1 else df

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import subprocess
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,10 +87,16 @@ def find_description(root: str) -> str | None:
 
 
 def texts(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, text of whole files; no rows for no paths."""
-    if not paths:
+    """path, text of whole files; no rows for no paths.  Local files that can't be read are left out with a warning."""
+    readable = []
+    for p in paths:
+        if "://" in p or os.access(p, os.R_OK) and os.path.isfile(p):
+            readable.append(p)
+        else:
+            warnings.warn(f"{p} can't be read", stacklevel=2)
+    if not readable:
         return spark.createDataFrame([], "path string, text string")
-    raw = spark.read.text([p if "://" in p else "file://" + p for p in paths], wholetext=True)
+    raw = spark.read.text([p if "://" in p else "file://" + p for p in readable], wholetext=True)
     return raw.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/").alias("path"), F.col("value").alias("text"))
 
 
@@ -98,14 +105,40 @@ def stem(path):
 
 
 def git_log(spark: SparkSession, root: str) -> DataFrame:
-    """commit_id, file of the commits that added or changed sources; none if the folder isn't a repository."""
-    run = subprocess.run(["git", "-C", root, "log", "--name-only", "--format=%H", "--diff-filter=ACMR", "--", "*.R"], capture_output=True, text=True)
-    if run.returncode:
+    """commit_id, file of the commits that added or changed sources; none, with a warning, without git or a repository."""
+    try:
+        run = subprocess.run(["git", "-C", root, "log", "--name-only", "--format=%H", "--diff-filter=ACMR", "--", "*.R"], capture_output=True, text=True)
+    except OSError:
+        run = None
+    if run is None or run.returncode:
+        warnings.warn(f"no commit log for {root}", stacklevel=2)
         return spark.createDataFrame([], "commit_id string, file string")
     lines = [(0, i, line) for i, line in enumerate(run.stdout.split("\n"))]
     return parse_log(spark.createDataFrame(lines, "log int, line_no long, line string"))
 
 
+DEPENDENCY_FIELDS = ("Imports", "Suggests", "Depends", "LinkingTo")
+
+
+def inventory(description: dict[str, str], versions: dict[str, str] | None = None) -> list[tuple[str, str]]:
+    """The packages of the dependency fields, each once, with their versions where these are known."""
+    names: dict[str, None] = {}
+    for key in DEPENDENCY_FIELDS:
+        for part in description.get(key, "").split(","):
+            name = re.sub(r"\s*\(.*\)", "", part, flags=re.S).strip()
+            if name and name != "R":
+                names[name] = None
+    return [(n, (versions or {}).get(n, "unknown")) for n in names]
+
+
+KINDS = {"package": "R package", "shiny": "Shiny application", "quarto": "R Markdown or Quarto project", "rmarkdown": "R Markdown or Quarto project", "script": "R project"}
+
+
+def kind_label(project: Project) -> str:
+    """The project's kind in words; a package's own Type field first."""
+    return project.description.get("Type") or KINDS[project.type]
+
+
 def exported(root: str) -> list[str] | None:
     """Names that a NAMESPACE file exports one by one; None without the file."""
     path = os.path.join(root, "NAMESPACE")
