@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomgraph import schema as S
 from loomgraph.functions.text import one_liner
@@ -54,6 +55,14 @@ def truncated(text: str, budget: int) -> str:
     return cut[: at + 1] if at >= 0 else cut
 
 
+def recent(rows: DataFrame, key: str, order: str, text: str, k: int = 3) -> DataFrame:
+    """key, no (from 1), text of the last k rows of each key: rows are numbered by key, none is gathered."""
+    back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
+    n = F.count("*").over(Window.partitionBy(key))
+    last = rows.select(key, F.col(text).alias("text"), back.alias("back"), n.alias("n")).where(F.col("back") <= k)
+    return last.select(key, (F.least("n", F.lit(k)) - F.col("back") + 1).cast("int").alias("no"), "text")
+
+
 def counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n"))
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from loomgraph import schema as S
 from loomgraph.functions import text as X
 from loomgraph.operators import context, edges, feedback, graph, relevance, semantic, tfidf
-from loomgraph.session import read
+from loomgraph.plans.build import Graph
+from loomgraph.session import read, written
+from loomgraph.sinks import store
 from loomgraph.sources.tables import FK_SQL, fk_edges, fk_nodes
 from loomgraph.streaming import traces as stream
 
@@ -96,7 +98,11 @@ def token_counts(spark, sf):
     return _docs(spark, sf).select("doc_id", X.header_tokens(F.col("text")).alias("header_tokens"))
 
 
-@query()
+@query(
+    r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(\p{L})[.'':](\p{L})', '\1\2', 'g'), '(\p{L})[.'':](\p{L})', '\1\2', 'g') AS x FROM documents),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(x, '(\p{N})[.,;''](\p{N})', '\1\2', 'g'), '(\p{N})[.,;''](\p{N})', '\1\2', 'g') AS x FROM a)
+SELECT doc_id, CAST(ceil(len(regexp_extract_all(x, '[\p{L}\p{N}_]+')) * 1.3) AS BIGINT) AS tokens FROM b"""
+)
 def word_token_counts(spark, sf):
     return _docs(spark, sf).select("doc_id", X.token_count(F.col("text")).alias("tokens"))
 
@@ -163,13 +169,32 @@ def first_match_edges(spark, sf):
 
 
 @query(
-    """WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS line FROM pages), m AS (SELECT page_id, unnest(regexp_extract_all(line, 'href="([^"]+)"', 1)) AS dst FROM l)
-SELECT DISTINCT 'page:' || page_id AS src, dst, 1.0::DOUBLE AS weight, 'link' AS source FROM m WHERE dst <> ''"""
+    """WITH p AS (SELECT 'supplier_' || s_suppkey AS src, replace(n_name, ' ', '.') AS n, replace(r_name, ' ', '_') AS r, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT DISTINCT src, n AS dst, 1.0::DOUBLE AS weight, 'library' AS source FROM p WHERE s_suppkey % 3 <> 0 UNION ALL SELECT DISTINCT src, r, 1.0, 'qualified' FROM p
+UNION ALL SELECT DISTINCT 'DESCRIPTION', replace(n_name, ' ', '.'), 1.0, 'description' FROM nation"""
 )
-def import_edges_links(spark, sf):
-    lines = read(spark, sf, "pages").select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("src"), F.explode(F.split("html", "\n")).alias("line"))
-    found = lines.select("src", F.explode(F.regexp_extract_all("line", F.lit('href="([^"]+)"'), F.lit(1))).alias("dst"))
-    return found.where("dst <> ''").select("src", "dst", F.lit(1.0).alias("weight"), F.lit("link").alias("source")).distinct()
+def import_edges(spark, sf):
+    """A source a supplier, with library and require calls (every third has a second argument, and doesn't count) and qualified
+    names; a metadata field with versions."""
+    nation, region = read(spark, sf, "nation"), read(spark, sf, "region")
+    s = read(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    name, far = F.regexp_replace("n_name", " ", "."), F.regexp_replace("r_name", " ", "_")
+    call = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("library("), name, F.lit(", quietly = TRUE)"))).when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit('x <- require( "'), name, F.lit('" )'))).otherwise(F.concat(F.lit("library("), name, F.lit(")")))
+    lines = s.select(F.concat(F.lit("supplier_"), F.col("s_suppkey").cast("string")).alias("stem"), F.explode(F.array(call, F.concat(F.lit("f("), far, F.lit(":::run(1), "), far, F.lit("::stop)")), F.lit("no packages: here"))).alias("line"))
+    field = nation.agg(F.concat_ws(",", F.lit("R (>= 4.1)"), F.array_join(F.collect_list(F.concat(name, F.lit(" (>= 1.0)"))), ",\n")).alias("value")).select(F.lit("DESCRIPTION").alias("stem"), "value")
+    return edges.import_edges(lines, edges.dependency_field(field))
+
+
+@query("SELECT 'nation:' || n_nationkey AS src, 'region:' || r_regionkey AS dst, 1.0::DOUBLE AS weight FROM nation JOIN region ON n_regionkey = r_regionkey")
+def extends_edges(spark, sf):
+    """A class a nation, by one of three ways of definition, of the class of its region."""
+    nation, region = read(spark, sf, "nation"), read(spark, sf, "region")
+    key, name = F.col("n_nationkey") % 3, F.concat(F.lit('"'), F.col("n_name"), F.lit('"'))
+    child, parent = F.regexp_replace("r_name", " ", "_"), F.concat(F.lit('"'), F.regexp_replace("r_name", " ", "_"), F.lit('"'))
+    text = F.when(key == 0, F.concat(F.lit("setClass("), name, F.lit(", representation(x = 'numeric'),\n contains = c("), parent, F.lit("))"))).when(key == 1, F.concat(F.lit("R6Class("), name, F.lit(",\n inherit = "), child, F.lit(")"))).otherwise(F.concat(F.lit("setRefClass("), name, F.lit(", contains = "), parent, F.lit(")")))
+    sources = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).agg(F.array_join(F.collect_list(text), "\n").alias("text"))
+    nodes = nation.select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("node_pos"))
+    return edges.extends_edges(sources, nodes.union(region.select(F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")), F.regexp_replace("r_name", " ", "_"), F.col("r_regionkey").cast("long") + 1000)))
 
 
 COCHANGE = """c AS (SELECT DISTINCT l_orderkey AS k, p_brand AS f FROM lineitem JOIN part ON l_partkey = p_partkey), t AS (SELECT count(DISTINCT k) AS total FROM c),
@@ -181,10 +206,9 @@ def _cochange(spark, sf):
     part = read(spark, sf, "part")
     commits = read(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("commit_id"), F.col("p_brand").alias("file"))
     nodes = part.select(F.col("p_brand").alias("id"), F.col("p_brand").alias("file")).distinct()
-    rows = commits.distinct()
-    n = rows.alias("a").join(rows.alias("b"), F.expr("a.commit_id = b.commit_id AND a.file < b.file")).groupBy("a.file", "b.file").count()
-    least = int(-(-n.agg(F.avg("count")).first()[0] // 1))  # one number: the mean count, so that the threshold follows the data
-    return edges.cochange_edges(commits, nodes, least)
+    pairs = written(edges.cochange_pairs(commits, nodes), "pairs")
+    least = int(-(-pairs.agg(F.avg("n")).first()[0] // 1))  # one number: the mean count, so that the threshold follows the data
+    return edges.edges_of_pairs(pairs, nodes, least)
 
 
 @query(f"WITH {COCHANGE} SELECT src, dst, round(weight, 6) AS weight FROM co")
@@ -222,7 +246,7 @@ def edge_type_counts(spark, sf):
 
 # --- graph algorithms ---
 
-TRADE = """tr AS (SELECT c_nationkey AS s, s_nationkey AS d, count(*)::DOUBLE AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey < 20 GROUP BY 1, 2),
+TRADE = """tr AS (SELECT c_nationkey AS s, s_nationkey AS d, count(*)::DOUBLE AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
 sh AS (SELECT s, d, w / sum(w) OVER (PARTITION BY s) AS share FROM tr), nn AS (SELECT n_nationkey AS k, k IN (SELECT s FROM tr) AS has FROM nation), p0 AS MATERIALIZED (SELECT k, has, 1.0 / count(*) OVER () AS p FROM nn)"""
 
 
@@ -232,7 +256,7 @@ def _rank_sql(rounds: int) -> str:
 
 
 def _trade(spark, sf):
-    lines = read(spark, sf, "lineitem").join(read(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).where("s_nationkey < 20")
+    lines = read(spark, sf, "lineitem").join(read(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     nation = lambda c: F.concat(F.lit("nation:"), F.col(c).cast("string"))
     return lines.groupBy(nation("c_nationkey").alias("src"), nation("s_nationkey").alias("dst")).agg(F.count("*").cast("double").alias("weight")).withColumn("edge_type", F.lit(S.CALLS))
 
@@ -312,6 +336,20 @@ def relevance_scores(spark, sf):
     return relevance.scores(_supplier_nodes(spark, sf)).select("name", F.round("score", 6).alias("score"))
 
 
+@query(
+    f"""WITH {SUPPLIER_NODES}, m AS (SELECT min(pr) AS lo, max(pr) AS hi FROM sn), sc AS (SELECT name, static, static + 0.10 * CASE WHEN pos % 4 = 0 THEN 0 WHEN pos % 4 = 3 THEN 1 ELSE (pos % 4) / 3.0 END AS score FROM (
+SELECT name, pos, 0.5 * greatest(0.0, least(1.0, CASE WHEN pos % 7 = 0 THEN 0 ELSE (pos % 7 - 2) / 4.0 END)) + 0.15 * CASE WHEN depth >= 99 THEN 0.5 ELSE 1 / (1 + 0.2 * depth) END + 0.15 * tw + 0.10 * CASE WHEN hi > lo THEN (pr - lo) / (hi - lo) ELSE 0.5 END AS static FROM sn, m))
+SELECT name, round(least(1.0, score), 6) AS score, round(static, 6) AS static FROM sc"""
+)
+def relevance_scores_full(spark, sf):
+    """All five signals: similarities from -0.25 to 1 (none for every seventh node), co-changes to over 1 (none for every fourth)."""
+    nodes = _supplier_nodes(spark, sf)
+    pos = F.col("node_pos")
+    sims = nodes.where(pos % 7 != 0).select("name", ((pos % 7 - 2) / 4).alias("sem"))
+    together = nodes.where(pos % 4 != 0).select("name", F.when(pos % 4 == 3, 1.5).otherwise((pos % 4) / 3).alias("cochange"))
+    return relevance.scores(nodes, sims, together).select("name", F.round("score", 6).alias("score"), F.round("static", 6).alias("static"))
+
+
 @query("WITH m AS (SELECT min(s_acctbal) AS lo, max(s_acctbal) AS hi FROM supplier) SELECT s_suppkey, round(CASE WHEN hi > lo THEN (s_acctbal - lo) / (hi - lo) ELSE 0.5 END, 6) AS signal FROM supplier, m")
 def minmax_pagerank(spark, sf):
     s = read(spark, sf, "supplier")
@@ -324,26 +362,28 @@ def seed_selection(spark, sf):
     return relevance.seed(_supplier_nodes(spark, sf))
 
 
+def context_nodes(spark, sf):
+    """All keys as nodes with scores and costs, and all foreign keys as edges."""
+    text = F.concat("name", "signature")
+    nodes = fk_nodes(spark, sf).select("name", (F.lit(0.15) + F.pmod(F.xxhash64("name"), F.lit(100)) / 200).alias("static"), X.header_tokens(text).alias("cost"), (X.header_tokens(text) * 3).alias("full_cost"), "node_pos")
+    return nodes, fk_edges(spark, sf)
+
+
 @query()
 def query_context_nodes(spark, sf):
-    fk = fk_nodes(spark, sf)
-    kept = fk.where("file IN ('region', 'nation', 'customer', 'supplier')")
-    e = fk_edges(spark, sf)
-    nodes = kept.select("name", (F.lit(0.15) + F.pmod(F.xxhash64("name"), F.lit(100)) / 200).alias("static"), X.header_tokens(F.concat("name", "signature")).alias("cost"), (X.header_tokens(F.concat("name", "signature")) * 3).alias("full_cost"), "node_pos")
-    starts = read(spark, sf, "nation").select(F.concat(F.lit("q"), F.col("n_nationkey").cast("string")).alias("query_id"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("start"))
-    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", "edge_type").where("src LIKE 'nation:%' AND dst LIKE 'supplier:%'")
-    geo = e.where("src LIKE 'nation:%'").union(back)
-    return relevance.query_contexts(starts, nodes, geo, budget=120, max_nodes=8)
+    """The contexts of the orders whose key is divisible by 100, in the graph of all keys."""
+    nodes, e = context_nodes(spark, sf)
+    name = F.concat(F.lit("orders:"), F.col("o_orderkey").cast("string"))
+    starts = read(spark, sf, "orders").where("o_orderkey % 100 = 0").select(name.alias("query_id"), name.alias("start"))
+    return relevance.query_contexts(starts, nodes, e, budget=120, max_nodes=8)
 
 
 @query(
-    f"""WITH {FK_SQL}, e AS (SELECT DISTINCT src, dst FROM fk_edges WHERE src LIKE 'nation:%' OR src LIKE 'supplier:%'), o AS (SELECT src AS name, string_agg(dst, ', ' ORDER BY dst) AS c FROM e GROUP BY src), i AS (SELECT dst AS name, string_agg(src, ', ' ORDER BY src) AS c FROM e GROUP BY dst)
-SELECT n.name, concat_ws(chr(10), n.signature, 'Calls: ' || o.c, 'Called by: ' || i.c) AS context FROM fk_nodes n LEFT JOIN o ON n.name = o.name LEFT JOIN i ON n.name = i.name WHERE n.file IN ('region', 'nation', 'supplier')"""
+    f"""WITH {FK_SQL}, e AS (SELECT DISTINCT src, dst FROM fk_edges), o AS (SELECT src AS name, string_agg(dst, ', ' ORDER BY dst) AS c FROM e GROUP BY src), i AS (SELECT dst AS name, string_agg(src, ', ' ORDER BY src) AS c FROM e GROUP BY dst)
+SELECT n.name, concat_ws(chr(10), n.signature, 'Calls: ' || o.c, 'Called by: ' || i.c) AS context FROM fk_nodes n LEFT JOIN o ON n.name = o.name LEFT JOIN i ON n.name = i.name"""
 )
 def node_context_compressed(spark, sf):
-    nodes = fk_nodes(spark, sf).where("file IN ('region', 'nation', 'supplier')").withColumn("roxygen_text", F.lit(None).cast("string"))
-    e = fk_edges(spark, sf).where("src LIKE 'nation:%' OR src LIKE 'supplier:%'")
-    return context.compressed_context(nodes, e)
+    return context.compressed_context(fk_nodes(spark, sf).withColumn("roxygen_text", F.lit(None).cast("string")), fk_edges(spark, sf))
 
 
 @query("SELECT 'supplier:' || s_suppkey AS name, s_acctbal AS pagerank FROM supplier ORDER BY s_acctbal DESC, name LIMIT 15")
@@ -352,12 +392,21 @@ def top_functions_report(spark, sf):
 
 
 @query(
-    r"""WITH n AS (SELECT replace(lower(p_name), ' ', '_') AS name FROM part), a AS (SELECT count(*) AS n, avg(CASE WHEN regexp_matches(name, '^[a-z][a-z0-9]*(_[a-z0-9]+)+$') THEN 1 ELSE 0 END) AS snake, avg(CASE WHEN regexp_matches(name, '^[a-z][a-z0-9]*(\.[a-z0-9]+)+$') THEN 1 ELSE 0 END) AS dot, avg(CASE WHEN regexp_matches(name, '^[a-z]+([A-Z][a-z0-9]*)+$') THEN 1 ELSE 0 END) AS camel FROM n)
-SELECT n, round(snake, 6) AS snake, round(dot, 6) AS dot, round(camel, 6) AS camel, CASE WHEN n <= 5 THEN 'unknown' WHEN snake > 0.4 THEN 'snake_case' WHEN dot > 0.4 THEN 'dot.case' WHEN camel > 0.2 THEN 'camelCase' ELSE 'mixed' END AS style FROM a"""
+    r"""WITH n AS (SELECT CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, ' ', '.') ELSE replace(p_name, ' ', '_') END AS name FROM part), a AS (SELECT count(*) AS n, avg(CASE WHEN contains(name, '_') THEN 1 ELSE 0 END) AS snake, avg(CASE WHEN contains(name, '.') THEN 1 ELSE 0 END) AS dot, avg(CASE WHEN regexp_matches(name, '[a-z][A-Z]') THEN 1 ELSE 0 END) AS camel FROM n WHERE name <> '')
+SELECT n, round(snake, 6) AS snake, round(dot, 6) AS dot, round(camel, 6) AS camel, CASE WHEN n <= 5 THEN 'unknown' WHEN snake > 0.4 AND camel <= 0.2 THEN 'snake_case' WHEN camel > 0.2 AND snake <= 0.4 THEN 'camelCase' WHEN dot > 0.4 THEN 'dot.case' ELSE 'mixed' END AS style FROM a"""
 )
 def naming_conventions(spark, sf):
-    c = context.conventions(read(spark, sf, "part").select(F.replace(F.lower("p_name"), F.lit(" "), F.lit("_")).alias("name")))
-    return c.select("n", F.round("snake", 6).alias("snake"), F.round("dot", 6).alias("dot"), F.round("camel", 6).alias("camel"), "style")
+    key = F.col("p_partkey") % 4
+    names = read(spark, sf, "part").select(F.when(key == 0, F.col("p_name")).when(key == 1, F.replace("p_name", F.lit(" "), F.lit("."))).otherwise(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("name"))
+    return context.conventions(names).select("n", F.round("snake", 6).alias("snake"), F.round("dot", 6).alias("dot"), F.round("camel", 6).alias("camel"), "style")
+
+
+@query(
+    """WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents), c AS (SELECT CAST(count(*) FILTER (WHERE contains(line, '|>')) AS BIGINT) AS native, CAST(count(*) FILTER (WHERE contains(line, '%>%')) AS BIGINT) AS magrittr FROM l)
+SELECT *, CASE WHEN native + magrittr = 0 THEN 'none' WHEN native >= magrittr THEN 'native |>' ELSE 'magrittr %>%' END AS style FROM c"""
+)
+def pipe_style(spark, sf):
+    return context.pipe_counts(_docs(spark, sf).select(F.explode(F.split("text", "\n")).alias("line")))
 
 
 # --- feedback ---
@@ -424,20 +473,40 @@ def incremental_update(spark, sf):
     return graph.with_nodes(left_nodes, left_edges, back, new)[1].select("src", "dst", "weight")
 
 
-@query("SELECT vec_id, '[' || array_to_string(list_transform(embedding[1:4], lambda x: CAST(CAST(round(x * 1000) AS INTEGER) AS VARCHAR)), ',') || ']' AS embedding FROM embeddings")
+@query()
 def export_nodes_json(spark, sf):
-    return read(spark, sf, "embeddings").select("vec_id", F.to_json(F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x * 1000).cast("int"))).alias("embedding"))
+    """The nodes table of the export, each with its whole vector as JSON (number formats keep SQL from matching it)."""
+    e = read(spark, sf, "embeddings")
+    return store.relational_nodes(e.select(F.concat(F.lit("vec:"), F.col("vec_id").cast("string")).alias("name"), F.lit(S.FUNCTION).alias("node_type"), F.col("embedding").cast("array<double>").alias("embedding")))
+
+
+@query(
+    f"""WITH {FK_SQL}, t AS (SELECT src, dst, weight, 'a' AS note FROM fk_edges UNION ALL SELECT src, dst, weight + 1, 'b' FROM fk_edges WHERE dst LIKE 'nation:%')
+SELECT src AS source_id, dst AS target_id, 'CALLS' AS edge_type, max(weight) AS weight, '{{"note":"' || arg_max(note, weight) || '"}}' AS metadata FROM t GROUP BY src, dst"""
+)
+def export_edges(spark, sf):
+    """The edges table of the export: of edges of one type between two nodes the heaviest, further columns as JSON."""
+    e = fk_edges(spark, sf)
+    twice = e.where("dst LIKE 'nation:%'").select("src", "dst", (F.col("weight") + 1).alias("weight"), "edge_type", F.lit("b").alias("note"))
+    return store.relational_edges(e.withColumn("note", F.lit("a")).unionByName(twice))
+
+
+@query(f"WITH {POSTS}, n AS (SELECT sum(doc_count) AS n FROM v) SELECT term, round(ln(1 + n / greatest(doc_count, 1)::DOUBLE), 6) AS idf, CAST(doc_count AS BIGINT) AS doc_count, CAST(term_count AS BIGINT) AS term_count FROM v, n")
+def export_vocabulary(spark, sf):
+    """The vocabulary table of the export where no idf is known."""
+    return store.relational_vocabulary(tfidf.term_counts(_docs(spark, sf))).withColumn("idf", F.round("idf", 6))
+
+
+SURFACE = "SELECT a.name AS caller, b.name AS callee, CAST(sum(weight) AS BIGINT) AS n FROM edges e JOIN nodes a ON e.source_id = a.node_id JOIN nodes b ON e.target_id = b.node_id WHERE e.edge_type = 'CALLS' AND b.file = 'region' GROUP BY 1, 2 ORDER BY n DESC, caller LIMIT 20"
 
 
-@query(f"WITH {FK_SQL} SELECT a.signature AS caller, b.signature AS callee, CAST(sum(weight) AS BIGINT) AS n FROM fk_edges JOIN fk_nodes a ON src = a.name JOIN fk_nodes b ON dst = b.name WHERE b.file = 'region' GROUP BY 1, 2 ORDER BY n DESC, caller LIMIT 20")
+@query(f"WITH {FK_SQL}, nodes AS (SELECT name AS node_id, name, file FROM fk_nodes), edges AS (SELECT src AS source_id, dst AS target_id, 'CALLS' AS edge_type, weight FROM fk_edges) {SURFACE}")
 def sql_surface(spark, sf):
-    fk_nodes(spark, sf).createOrReplaceTempView("nodes")
-    fk_edges(spark, sf).createOrReplaceTempView("edges")
-    return spark.sql("SELECT a.signature AS caller, b.signature AS callee, CAST(sum(weight) AS BIGINT) AS n FROM edges JOIN nodes a ON src = a.name JOIN nodes b ON dst = b.name WHERE b.file = 'region' GROUP BY 1, 2 ORDER BY n DESC, caller LIMIT 20")
+    """A client's SQL over the export's tables."""
+    store.views(Graph(fk_nodes(spark, sf), fk_edges(spark, sf)))
+    return spark.sql(SURFACE)
 
 
 @query("WITH h AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) SELECT conv_id, CAST(least(n, 3) - k + 1 AS INTEGER) AS no, text FROM h WHERE k <= 3")
 def recent_history(spark, sf):
-    c = read(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("h"))
-    last = c.select("conv_id", F.when(F.size("h") > 3, F.slice("h", -3, 3)).otherwise(F.col("h")).alias("h"))
-    return last.select("conv_id", F.posexplode("h").alias("i", "t")).select("conv_id", (F.col("i") + 1).alias("no"), F.col("t.text").alias("text"))
+    return context.recent(read(spark, sf, "conversations"), "conv_id", "turn", "text", 3)
