@@ -13,19 +13,21 @@ from tests.llm.conftest import sentence
 
 def plain_bits(data, known):
     """One decision after the other."""
-    slots, two = mixing.contexts(data, np.array([0, len(data)]), known.bits)
-    tree, total = known.tree, 0.0
+    hashes, two = mixing.contexts(data, np.array([0, len(data)]))
+    pair = mixing.pairs(data, np.array([0, len(data)]))
+    slots = [known.slots.of(pair >> 8, h) for h in hashes]
+    trees, total = known.trees, 0.0
     for begin in range(0, len(data), mixing.SEGMENT):
         w = np.tile(np.array(mixing.START, np.float32), (mixing.GATES, 1))
         a = (1 / (1 + np.exp(-(np.arange(mixing.STEPS_OF_MAP) - 16) / 2))).astype(np.float32)
         counters = np.zeros(1 << mixing.OWN_BITS, np.float32)
         for i in range(begin, min(len(data), begin + mixing.SEGMENT)):
             letter = 0 if i == 0 or mixing.GAP[data[i - 1]] else 1
-            for j in range(tree.first[data[i]], tree.first[data[i]] + tree.size[data[i]]):
-                own = (int(two[i]) ^ int(tree.node[j]) * 0x9E3779B1) >> 16 & (1 << mixing.OWN_BITS) - 1
-                x = np.array([t[s[i], tree.node[j]] for t, s in zip(known.tables, slots)] + [0, 0], np.float32) / np.float32(16)
+            for j in range(trees.first[pair[i]], trees.first[pair[i]] + trees.size[pair[i]]):
+                own = (int(two[i]) ^ int(trees.node[j]) * 0x9E3779B1) >> 16 & (1 << mixing.OWN_BITS) - 1
+                x = np.array([t[s[i], trees.node[j]] for t, s in zip(known.tables, slots)] + [0, 0], np.float32) / np.float32(16)
                 x[3] = counters[own]
-                gate, bit = tree.depth[j] + 3 * letter, int(tree.bit[j])
+                gate, bit = trees.depth[j] + 3 * letter, int(trees.bit[j])
                 dot = np.clip(np.einsum("ij,ij->i", x[None], w[gate][None]), np.float32(-8), np.float32(8))
                 p = (np.float32(1) / (np.float32(1) + np.exp(-dot)))[0]
                 k = int((dot * np.float32(2) + np.float32(16.5))[0])
@@ -38,7 +40,7 @@ def plain_bits(data, known):
 
 
 def test_tables_grow_with_the_corpus():
-    sizes = [sum(1 << b for b in mixing.table_bits(n)) for n in (0, 1 << 20, 1 << 28, 1 << 29, 1 << 31, 1 << 50)]
+    sizes = [mixing.PREDICTORS << mixing.table_bits(n) for n in (0, 1 << 20, 1 << 28, 1 << 29, 1 << 31, 1 << 50)]
     assert sizes == sorted(sizes) and sizes[0] == sizes[2] < sizes[3] < sizes[4] == sizes[5]
     assert 256 * sizes[-1] <= 128 << 20
 
