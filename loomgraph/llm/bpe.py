@@ -34,7 +34,7 @@ from loomgraph.llm.shared import chunks, give_back, utf8_buffers
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bytes of text whose pieces are encoded together.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 20 << 20
 
 #: Columns that encoded() adds.
 ADDED = ("tokens", "n_tokens")

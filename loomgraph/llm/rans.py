@@ -36,7 +36,7 @@ from loomgraph.llm.windows import pack, unpack
 
 PRECISION, BLOCK, LANES, CHECKPOINT = 20, 1 << 16, 32, 512
 #: Bytes of text that are encoded together: less than operator 8 takes, as workers also code blocks.
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 20 << 20
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 ROW = "part int, block int, n_tokens int, doc_id array<long>, doc_tokens array<int>, doc_first array<int>, n_words int, stream binary, states binary, checkpoints binary, crc array<long>"
