@@ -5,13 +5,15 @@ from __future__ import annotations
 import json
 import random
 import time
+import warnings
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -99,3 +101,28 @@ def embed(texts: DataFrame, embedder: Embedder, cache: DataFrame | None = None)
     new = written(wanted.mapInPandas(run, "hash string, backend string, embedding array<double>"), "embeddings")
     every = new.select("hash", "embedding") if known is None else known.union(new.select("hash", "embedding"))
     return hashed.select("id", "hash").join(every, "hash").select("id", "embedding"), new
+
+
+CACHE = "embeddings"
+
+
+def load_cache(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The rows (hash, backend, embedding) kept in a folder; None if there are none or they can't be read."""
+    try:
+        found = spark.read.parquet(f"{folder}/{CACHE}")
+        return found.select("hash", "backend", "embedding") if found.take(1) else None
+    except AnalysisException:
+        return None
+
+
+def save_cache(new: DataFrame, folder: str) -> None:
+    """Adds new rows to those in a folder."""
+    new.write.mode("append").parquet(f"{folder}/{CACHE}")
+
+
+def usable(embedder: Embedder | None) -> Embedder | None:
+    """The embedder, or None (that is, TF-IDF), with a warning, if it is a service that doesn't answer."""
+    if embedder is not None and hasattr(embedder, "available") and not embedder.available():
+        warnings.warn(f"{embedder.name} doesn't answer: TF-IDF is used", stacklevel=2)
+        return None
+    return embedder

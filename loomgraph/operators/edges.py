@@ -93,17 +93,27 @@ EXTENDS_PATTERNS = (
 )
 
 
-def extends_edges(sources: DataFrame, nodes: DataFrame) -> DataFrame:
-    """sources(text): child class to parent class, by name to the first node; names without a node are dropped."""
+def extends_pairs(sources: DataFrame, *keep: str) -> DataFrame:
+    """sources(text, and columns to keep): child and parent of each class definition."""
     pairs = None
     for pattern in EXTENDS_PATTERNS:
-        part = sources.select(F.explode(captures2(F.col("text"), pattern)).alias("p")).select(F.col("p.first").alias("child"), F.col("p.second").alias("parent"))
+        part = sources.select(*keep, F.explode(captures2(F.col("text"), pattern)).alias("p")).select(*keep, F.col("p.first").alias("child"), F.col("p.second").alias("parent"))
         pairs = part if pairs is None else pairs.union(part)
+    return pairs.distinct()
+
+
+def extends_of(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Child class to parent class, by name to the first node; names without a node are dropped."""
     dim = first_by_name(nodes)
-    out = pairs.distinct().join(dim.select(F.col("name").alias("child"), F.col("id").alias("src")), "child").join(dim.select(F.col("name").alias("parent"), F.col("id").alias("dst")), "parent")
+    out = pairs.select("child", "parent").distinct().join(dim.select(F.col("name").alias("child"), F.col("id").alias("src")), "child").join(dim.select(F.col("name").alias("parent"), F.col("id").alias("dst")), "parent")
     return out.where("src <> dst").select("src", "dst").distinct().withColumn("weight", F.lit(1.0))
 
 
+def extends_edges(sources: DataFrame, nodes: DataFrame) -> DataFrame:
+    """sources(text): child class to parent class."""
+    return extends_of(extends_pairs(sources), nodes)
+
+
 def assemble(nodes: DataFrame, **by_type: DataFrame) -> DataFrame:
     """Edges of all types (keyword: type) whose ends are both nodes(name); parallel edges stay."""
     out = None

@@ -85,9 +85,6 @@ def capped(found: DataFrame, cap: int, by_score: bool = True) -> DataFrame:
     return labelled.groupBy("root").applyInPandas(fold, "src long, dst long, weight double")
 
 
-def semantic_edges(vectors: DataFrame, threshold: float, cap: int = 5, limit: int | None = None, **names) -> DataFrame:
-    """The capped pairs; none if there are fewer than two vectors, or more than `limit` if one is given."""
-    n = vectors.count()
-    if n < 2 or (limit is not None and n > limit):
-        return vectors.sparkSession.createDataFrame([], "src long, dst long, weight double")
+def semantic_edges(vectors: DataFrame, threshold: float, cap: int = 5, **names) -> DataFrame:
+    """src, dst, weight: the pairs over the threshold, at most `cap` a vector."""
     return capped(written(pairs(vectors, threshold, **names), "pairs"), cap)

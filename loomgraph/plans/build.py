@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomgraph import schema as S
+from loomgraph.functions import embedders
 from loomgraph.functions import text as X
+from loomgraph.functions.embedders import Embedder
 from loomgraph.operators import context, edges, graph, relevance, semantic, tfidf
 from loomgraph.session import ship, written
 from loomgraph.sources import files, rparser
@@ -24,9 +26,12 @@ RECORD = "id string, name string, file string, line_start int, line_end int, sig
 
 @dataclass
 class Graph:
+    """parts: what was found in each file, by name (extracted()), for updates."""
+
     nodes: DataFrame
     edges: DataFrame
     meta: dict[str, str] = field(default_factory=dict)
+    parts: dict[str, DataFrame] = field(default_factory=dict)
 
     def summary(self) -> dict:
         return {
@@ -41,7 +46,7 @@ class Graph:
 
 
 def function_records(sources: DataFrame) -> DataFrame:
-    """sources(path, text): a row a definition; files that can't be parsed have none."""
+    """sources(path, text): RECORD of each definition; files that can't be parsed have none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in RECORD.split(", ")]
@@ -49,44 +54,75 @@ def function_records(sources: DataFrame) -> DataFrame:
             rows = [r for p, t in zip(frame.path, frame.text) for r in rparser.extract(p, t)]
             yield pd.DataFrame(rows, columns=names)
 
-    found = sources.mapInPandas(run, RECORD)
-    pos = F.row_number().over(Window.orderBy("file", "line_start", "name"))  # definitions of one project
-    ranked = found.withColumn("node_pos", pos.cast("long"))
-    first = ranked.groupBy("id").agg(F.min("node_pos").alias("node_pos"))
-    return ranked.join(first, ["id", "node_pos"], "left_semi")
+    return sources.mapInPandas(run, RECORD)
 
 
 def called_symbols(sources: DataFrame) -> DataFrame:
-    """sources(path, text): stem, and all names called in each file."""
+    """sources(path, text): path, and all names called in each file."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             yield pd.DataFrame({"path": frame.path, "symbols": [rparser.symbols_called(t) for t in frame.text]})
 
-    return sources.mapInPandas(run, "path string, symbols array<string>").select(files.stem(F.col("path")).alias("stem"), "symbols")
+    return sources.mapInPandas(run, "path string, symbols array<string>")
+
+
+def numbered(records: DataFrame) -> DataFrame:
+    """The records in order of files and lines with node_pos; of several with one id, the first."""
+    ranked = records.withColumn("node_pos", F.row_number().over(Window.orderBy("file", "line_start", "name")).cast("long"))  # definitions of one project
+    first = ranked.groupBy("id").agg(F.min("node_pos").alias("node_pos"))
+    return ranked.join(first, ["id", "node_pos"], "left_semi")
+
+
+#: The column of each part that has the file.
+PART_PATH = {"records": "file", "imports": "path", "symbols": "path", "methods": "path", "classes": "path"}
 
 
-def build(spark: SparkSession, path: str = ".", package_nodes: bool = True, threshold: float = S.SEMANTIC_THRESHOLD, cap: int = S.SEMANTIC_CAP, limit: int = S.SEMANTIC_LIMIT, min_cochanges: int = S.MIN_COCHANGES) -> Graph:
-    """Definitions, imports, tests, co-changes and dispatch as a graph with PageRank, entry points, depths and
-    similarities.  PageRank leaves SEMANTIC edges out."""
+def extracted(spark: SparkSession, paths: Sequence[str], tests: Sequence[str]) -> dict[str, DataFrame]:
+    """What the files hold, a table a kind, each row with its file: definitions, imported packages, names that tests call,
+    methods and classes with parents.  A file's rows depend on that file only."""
+    sources = written(files.texts(spark, list(paths)), "sources")
+    lines = sources.select(F.col("path").alias("stem"), F.explode(F.split("text", "\n")).alias("line"))
+    tested = sources.where(F.col("path").isin(*tests)) if tests else sources.where("1 = 0")
+    return {
+        "records": function_records(sources),
+        "imports": edges.import_edges(lines).select(F.col("src").alias("path"), "dst", "source"),
+        "symbols": called_symbols(tested),
+        "methods": sources.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"""setMethod\s*\(\s*["']([^"']+)["']"""), F.lit(1))).alias("name")),
+        "classes": edges.extends_pairs(sources, "path"),
+    }
+
+
+def build(spark: SparkSession, path: str = ".", package_nodes: bool = True, threshold: float = S.SEMANTIC_THRESHOLD, cap: int = S.SEMANTIC_CAP, min_cochanges: int = S.MIN_COCHANGES, embedder: Embedder | None = None, cache: str | None = None) -> Graph:
+    """Definitions, imports, tests, co-changes, dispatch and inheritance as a graph with PageRank, entry points, depths and
+    similarities.  PageRank leaves SEMANTIC edges out.
+
+    Similarities are those of the embedder's vectors (kept in the folder `cache`, if one is given), which also stand in the
+    nodes; without an embedder, or if its service doesn't answer, those of TF-IDF.
+    """
     ship(spark)
     project = files.detect(path)
-    sources = written(files.texts(spark, project.r_files), "sources")
-    functions = written(function_records(sources), "functions")
+    parts = {name: written(df, name) for name, df in extracted(spark, project.r_files, project.test_files).items()}
+    return assembled(spark, project, parts, package_nodes, threshold, cap, min_cochanges, embedder, cache)
+
+
+def assembled(spark: SparkSession, project: files.Project, parts: dict[str, DataFrame], package_nodes: bool, threshold: float, cap: int, min_cochanges: int, embedder: Embedder | None = None, cache: str | None = None) -> Graph:
+    """The graph of what was found in the files."""
+    functions = written(numbered(parts["records"]), "functions")
     named = functions.select("id", "name", "node_pos", "calls_list", "file")
+    short = named.select("id", "name", "node_pos")
     calls = edges.call_edges(named)
-    lines = sources.select(files.stem(F.col("path")).alias("stem"), F.explode(F.split("text", "\n")).alias("line"))
     fields = [(os.path.splitext(os.path.basename(d))[0], v) for d in [files.find_description(project.root)] if d for k, v in files.read_dcf(d).items() if k in ("Imports", "Depends")]
-    deps = edges.dependency_field(spark.createDataFrame(fields, "stem string, value string")) if fields else None
-    imports = edges.import_edges(lines, deps)
-    tests = sources.where(F.col("path").isin(*project.test_files)) if project.test_files else sources.where("1 = 0")
-    tested = edges.test_edges(named.select("id", "name", "node_pos"), called_symbols(tests))
-    log = files.git_log(spark, project.root)
+    imports = parts["imports"].select(files.stem(F.col("path")).alias("src"), "dst", F.lit(1.0).alias("weight"), "source")
+    if fields:
+        deps = edges.dependency_field(spark.createDataFrame(fields, "stem string, value string"))
+        imports = imports.union(deps.select("stem", "package", F.lit(1.0), F.lit("description")))
+    imports = imports.distinct()
+    tested = edges.test_edges(short, parts["symbols"].select(files.stem(F.col("path")).alias("stem"), "symbols"))
     relative = named.select("id", F.regexp_replace("file", "^" + re.escape(project.root.rstrip("/") + "/"), "").alias("file"))
-    together = edges.cochange_edges(log, relative, min_cochanges)
-    methods = sources.select(F.explode(F.regexp_extract_all("text", F.lit(r"""setMethod\s*\(\s*["']([^"']+)["']"""), F.lit(1))).alias("name"))
-    dispatch = edges.dispatch_edges(named.select("id", "name", "node_pos"), methods)
-    extends = edges.extends_edges(sources, named.select("id", "name", "node_pos"))
+    together = edges.cochange_edges(files.git_log(spark, project.root), relative, min_cochanges)
+    dispatch = edges.dispatch_edges(short, parts["methods"].select("name"))
+    extends = edges.extends_of(parts["classes"], short)
     node = functions.withColumnRenamed("id", "node_id").drop("name").withColumnRenamed("node_id", "name").withColumn("node_type", F.lit(S.FUNCTION))
     nodes = S.normalize(node, S.NODE_SCHEMA)
     for found, kind in ((imports.select(F.col("dst").alias("name")) if package_nodes else None, S.PACKAGE), (tested.select(F.col("src").alias("name")), S.TESTFILE)):
@@ -95,11 +131,25 @@ def build(spark: SparkSession, path: str = ".", package_nodes: bool = True, thre
             nodes = nodes.unionByName(S.normalize(new, S.NODE_SCHEMA))
     nodes = written(nodes, "nodes")
     kept = written(edges.assemble(nodes, **{S.CALLS: calls, S.IMPORTS: imports, S.TESTS: tested, S.CO_CHANGES: together, S.DISPATCHES_ON: dispatch, S.EXTENDS: extends}), "edges")
-    meta = {"project_name": project.description.get("Package", os.path.basename(project.root)), "project_root": project.root, "project_type": project.type, "build_at": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), "embed_method": "tfidf"}
-    return finish(Graph(nodes, kept, meta), threshold, cap, limit)
+    embedder = embedders.usable(embedder)
+    meta = {"project_name": project.description.get("Package", os.path.basename(project.root)), "project_root": project.root, "project_type": project.type, "build_at": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), "embed_method": embedder.name if embedder else "tfidf"}
+    meta |= {"package_nodes": str(package_nodes), "threshold": str(threshold), "cap": str(cap), "min_cochanges": str(min_cochanges)}
+    g = Graph(nodes, kept, meta, parts)
+    return finish(embedded(g, embedder, cache) if embedder else g, threshold, cap)
 
 
-def finish(g: Graph, threshold: float = S.SEMANTIC_THRESHOLD, cap: int = S.SEMANTIC_CAP, limit: int = S.SEMANTIC_LIMIT) -> Graph:
+def embedded(g: Graph, embedder: Embedder, cache: str | None = None) -> Graph:
+    """The graph with the vectors of its functions; texts that the cache has aren't sent."""
+    docs = _docs(g.nodes.where(F.col("node_type") == S.FUNCTION)).withColumnRenamed("doc_id", "id")
+    vectors, new = embedders.embed(docs, embedder, embedders.load_cache(g.nodes.sparkSession, cache) if cache else None)
+    if cache:
+        embedders.save_cache(new, cache)
+    of = F.when(F.col("node_type") == S.FUNCTION, F.col("node_pos"))
+    nodes = g.nodes.drop("embedding").join(vectors, of == F.col("id"), "left").drop("id")
+    return Graph(written(S.normalize(nodes, S.NODE_SCHEMA), "nodes"), g.edges, g.meta, g.parts)
+
+
+def finish(g: Graph, threshold: float = S.SEMANTIC_THRESHOLD, cap: int = S.SEMANTIC_CAP) -> Graph:
     """The columns and edges that follow from the others: PageRank, entry points, depths, SEMANTIC edges."""
     spark = g.nodes.sparkSession
     kept = g.edges.where(F.col("edge_type") != S.SEMANTIC)
@@ -113,13 +163,13 @@ def finish(g: Graph, threshold: float = S.SEMANTIC_THRESHOLD, cap: int = S.SEMAN
     nodes = written(S.normalize(nodes, S.NODE_SCHEMA), "nodes")
     every = kept.select("src", "dst", "weight", "edge_type")
     pool = nodes.where(F.col("node_type") == S.FUNCTION)
-    if 2 <= pool.count() <= limit:
-        pairs = text_pairs(pool, threshold)
-        if pairs.take(1):
-            ids = pool.select("name", "node_pos")
-            found = semantic.capped(pairs, cap).join(ids.select(F.col("node_pos").alias("src"), F.col("name").alias("a")), "src").join(ids.select(F.col("node_pos").alias("dst"), F.col("name").alias("b")), "dst")
-            every = every.union(found.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight", F.lit(S.SEMANTIC).alias("edge_type")))
-    return Graph(nodes, written(every, "edges"), dict(g.meta))
+    dense = pool.where("embedding IS NOT NULL")
+    pairs = written(semantic.pairs(dense, threshold, "node_pos") if dense.take(1) else text_pairs(pool, threshold), "pairs")
+    if pairs.take(1):
+        ids = pool.select("name", "node_pos")
+        found = semantic.capped(pairs, cap).join(ids.select(F.col("node_pos").alias("src"), F.col("name").alias("a")), "src").join(ids.select(F.col("node_pos").alias("dst"), F.col("name").alias("b")), "dst")
+        every = every.union(found.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight", F.lit(S.SEMANTIC).alias("edge_type")))
+    return Graph(nodes, written(every, "edges"), dict(g.meta), g.parts)
 
 
 def _docs(nodes: DataFrame) -> DataFrame:
@@ -137,19 +187,40 @@ def text_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
     return both.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.sum(F.col("x.w") * F.col("y.w")).alias("score")).where(F.col("score") >= threshold)
 
 
-def update(g: Graph, spark: SparkSession, changed: Sequence[str]) -> Graph:
-    """The graph after some files changed or went: the same as a new build."""
-    return build(spark, g.meta["project_root"]) if changed else g
-
-
-def ask(g: Graph, query: str, start: str | None = None, budget: int = S.BUDGET, min_relevance: float = S.MIN_RELEVANCE, max_nodes: int = S.MAX_NODES) -> dict:
+def update(g: Graph, spark: SparkSession, changed: Sequence[str], embedder: Embedder | None = None, cache: str | None = None) -> Graph:
+    """The graph after files changed, came or went: the same as a new build, but only these files are read and parsed (and, with
+    a cache, only new texts embedded).  A graph without parts, as of an older cache, is built anew."""
+    if not changed:
+        raise ValueError("names of changed files are needed")
+    meta = g.meta
+    options = {"package_nodes": meta.get("package_nodes", "True") == "True", "threshold": float(meta.get("threshold", S.SEMANTIC_THRESHOLD)), "cap": int(meta.get("cap", S.SEMANTIC_CAP)), "min_cochanges": int(meta.get("min_cochanges", S.MIN_COCHANGES))}
+    if not g.parts:
+        return build(spark, meta["project_root"], embedder=embedder, cache=cache, **options)
+    project = files.detect(meta["project_root"])
+    touched = {os.path.abspath(os.path.join(project.root, p)) for p in changed}
+    again = [p for p in project.r_files if p in touched]
+    found = extracted(spark, again, [p for p in project.test_files if p in touched])
+    parts = {name: written(old.where(~F.col(PART_PATH[name]).isin(*touched)).unionByName(found[name]), name) for name, old in g.parts.items()}
+    return assembled(spark, project, parts, embedder=embedder, cache=cache, **options)
+
+
+def similarities(g: Graph, pool: DataFrame, query: str, embedder: Embedder | None = None) -> DataFrame:
+    """name, sem of the nodes: by the vectors of the embedder the graph was built with, else by TF-IDF."""
+    if embedder is not None and embedder.name == g.meta.get("embed_method"):
+        (vector,) = embedder([query])
+        asked = F.array(*[F.lit(float(x)) for x in vector])
+        return pool.where(F.col("embedding").isNotNull()).select("name", X.cosine(F.col("embedding"), asked).alias("sem"))
+    found = tfidf.similar(_docs(pool), query).select(F.col("doc").alias("node_pos"), F.col("score").alias("sem"))
+    return found.join(pool.select("name", "node_pos"), "node_pos").select("name", "sem")
+
+
+def ask(g: Graph, query: str, start: str | None = None, budget: int = S.BUDGET, min_relevance: float = S.MIN_RELEVANCE, max_nodes: int = S.MAX_NODES, embedder: Embedder | None = None) -> dict:
     """The context of a query: seed, nodes with scores and tokens, and the document."""
     spark = g.nodes.sparkSession
     if not g.nodes.take(1):
         return {"nodes": [], "context_string": context.assemble(g.meta.get("project_name", ""), query, ("", ""), []), "tokens_used": 0, "budget_tokens": budget, "seed_node": None}
     pool = g.nodes.where(F.col("node_type") == S.FUNCTION)
-    sims = tfidf.similar(_docs(pool), query).select(F.col("doc").alias("node_pos"), F.col("score").alias("sem")).join(pool.select("name", "node_pos"), "node_pos").select("name", "sem")
-    sims = written(sims, "similar")
+    sims = written(similarities(g, pool, query, embedder), "similar")
     if start is None:
         start = relevance.seed(g.nodes, sims).first()["name"]
     elif not g.nodes.where(F.col("name") == start).take(1):

@@ -37,7 +37,7 @@ TEST_HELPERS = frozenset(
 WEIGHTS = {"semantic": 0.5, "depth": 0.15, "task_trace": 0.15, "pagerank": 0.10, "cochange": 0.10}
 DEPTH_FACTOR, UNREACHABLE = 0.2, 99
 MIN_RELEVANCE, MAX_NODES, BUDGET = 0.1, 20, 2000
-SEMANTIC_THRESHOLD, SEMANTIC_CAP, SEMANTIC_LIMIT = 0.7, 5, 300
+SEMANTIC_THRESHOLD, SEMANTIC_CAP = 0.7, 5
 HALF_LIFE_DAYS, ALPHA, DECAY, MIN_COCHANGES = 30.0, 0.3, 0.99, 2
 
 

@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from loomgraph import schema as S
 from loomgraph.operators import feedback
-from loomgraph.plans.build import Graph
+from loomgraph.plans.build import PART_PATH, Graph
+from loomgraph.session import written
 
 VERSION = "2"
 FOLDER = ".loomgraph"
@@ -55,6 +56,7 @@ def _put(spark: SparkSession, path: str, text: str, overwrite: bool = True) -> N
     target, fs = _path(spark, path)
     if not overwrite and fs.exists(target):
         return
+    fs.setWriteChecksum(False)  # people edit these files
     out = fs.create(target, True)
     out.write(bytearray(text.encode()))
     out.close()
@@ -64,7 +66,12 @@ def _get(spark: SparkSession, path: str) -> str | None:
     target, fs = _path(spark, path)
     if not fs.exists(target):
         return None
-    return "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())  # one small file
+    fs.setVerifyChecksum(False)
+    stream = fs.open(target)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def metadata(g: Graph, n_nodes: int, n_edges: int) -> dict[str, str]:
@@ -76,12 +83,15 @@ def save(g: Graph, folder: str | None = None) -> str:
     """Parquet tables of nodes and edges, meta.json and config.yml; overwrites them, and adds a .gitignore if there is none."""
     folder = cache_dir(g, folder)
     spark = g.nodes.sparkSession
-    g.nodes.write.mode("overwrite").parquet(f"{folder}/nodes")
-    g.edges.write.mode("overwrite").parquet(f"{folder}/edges")
+    tables = {"nodes": g.nodes, "edges": g.edges, **{f"parts/{name}": df for name, df in g.parts.items()}}
+    # what is read from this very folder is copied before it is overwritten
+    tables = {name: written(df, "copy") if any(f"{folder}/" in f for f in df.inputFiles()) else df for name, df in tables.items()}
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
     meta = metadata(g, spark.read.parquet(f"{folder}/nodes").count(), spark.read.parquet(f"{folder}/edges").count())
     _put(spark, f"{folder}/meta.json", json.dumps(g.meta | {"version": VERSION}, indent=1))
     _put(spark, f"{folder}/config.yml", "\n".join(yaml_lines(meta)) + "\n")
-    _put(spark, f"{folder}/.gitignore", "nodes/\nedges/\n!config.yml\n!traces.jsonl\n", overwrite=False)
+    _put(spark, f"{folder}/.gitignore", "nodes/\nedges/\nparts/\n!config.yml\n!traces.jsonl\n", overwrite=False)
     return folder
 
 
@@ -112,7 +122,9 @@ def load(spark: SparkSession, folder: str) -> Graph | None:
         raise ValueError(f"what is in {folder} isn't a graph")
     meta["version_matches"] = str(cached_version(spark, folder) == VERSION)
     meta.pop("version", None)
-    g = Graph(S.normalize(nodes, S.NODE_SCHEMA), edges, meta)
+    there = [name for name in PART_PATH if _path(spark, f"{folder}/parts/{name}")[1].exists(_path(spark, f"{folder}/parts/{name}")[0])]
+    parts = {name: spark.read.parquet(f"{folder}/parts/{name}") for name in there} if len(there) == len(PART_PATH) else {}
+    g = Graph(S.normalize(nodes, S.NODE_SCHEMA), edges, meta, parts)
     log = f"{folder}/traces.jsonl"
     return with_trace_weights(g, read_traces(spark, log)) if _path(spark, log)[1].exists(_path(spark, log)[0]) else g
 
@@ -125,7 +137,7 @@ def with_trace_weights(g: Graph, traces: DataFrame, now: str | None = None) -> G
     rows = feedback.keep_first(rows, ["session_id", "ts"], ["line"]).withColumn("created_at", feedback.parse_time(F.col("ts")))
     found = feedback.trace_weights(g.nodes, rows, now or datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S"))
     nodes = g.nodes.drop("task_trace_weight").join(found.withColumnRenamed("weight", "task_trace_weight"), "name", "left")
-    return Graph(S.normalize(nodes, S.NODE_SCHEMA), g.edges, g.meta)
+    return Graph(S.normalize(nodes, S.NODE_SCHEMA), g.edges, g.meta, g.parts)
 
 
 # --- the relational export ---

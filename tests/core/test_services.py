@@ -10,6 +10,7 @@ from loomgraph.functions import embedders as e
 from loomgraph.operators import context, feedback, relevance, semantic
 from loomgraph.plans import chat
 from loomgraph.plans.build import Graph
+from loomgraph.sinks import plot
 
 
 def counting(path):
@@ -112,9 +113,10 @@ def test_rendering(graph):
     assert short["pkg::b"] == "b(x)\nCalls: c\nCalled by: a"
     lines = [r.line for r in context.dot_lines(graph.nodes, graph.edges).collect()]
     assert lines[0] == "digraph project {" and lines[-1] == "}" and sum("->" in x for x in lines) == 4
-    report = context.instructions("pkg", "package", graph.nodes, graph.edges, ["stats"])
-    assert "- `pkg::b` (0.4000)" in report and "- stats: unknown" in report
-    assert len(context.instructions("pkg", "package", graph.nodes, graph.edges, ["p"] * 200, 100)) <= 400
+    assert any("cluster_pkg" in x and '"pkg::a"; "pkg::b"' in x for x in lines)
+    report = context.instructions("pkg", "package", graph.nodes, graph.edges, [("stats", "unknown")], pipe="native |>", tested=True)
+    assert "- `pkg::b` (0.4)" in report and "- stats: unknown" in report and "- Pipe: native |>" in report and "- Tests: testthat" in report
+    assert len(context.instructions("pkg", "package", graph.nodes, graph.edges, [("p", "1")] * 200, 100)) <= 400
     with pytest.raises(ValueError):
         context.instructions("pkg", "package", graph.nodes, graph.edges, max_tokens=5)
 
@@ -127,3 +129,72 @@ def test_cap_and_traces(spark):
     got = {r["name"]: r.weight for r in feedback.trace_weights(nodes, traces, "2024-02-01 00:00:00").collect()}
     assert got == {"model": 1.0, "load": 0.0, "clean": pytest.approx(1.8 / (1.9 * 2))}
     assert feedback.trace_weights(nodes, traces.where("polarity > 5"), "2024-02-01 00:00:00").agg({"weight": "max"}).first()[0] == 0
+
+
+def test_conventions(spark):
+    def style(names):
+        return context.conventions(spark.createDataFrame([(n,) for n in names], "name string")).first().style
+
+    assert style(["a_b"] * 5) == "unknown"
+    assert style(["a_b"] * 5 + ["ab"]) == "snake_case"
+    assert style(["aB"] * 3 + ["ab"] * 5) == "camelCase"
+    assert style(["print.a"] * 4 + ["ab"] * 4) == "dot.case"
+    # both underscores and humps: neither style, and dots decide
+    assert style(["a_bC"] * 6) == "mixed" and style(["a_b.cD"] * 6) == "dot.case"
+    assert style([""] * 9 + ["a_b"]) == "unknown"
+
+
+def test_pipes(spark):
+    def row(lines):
+        return tuple(context.pipe_counts(spark.createDataFrame([(x,) for x in lines], "line string")).first())
+
+    assert row(["x |> f() |> g()", "y %>% h()", "z"]) == (1, 1, "native |>")
+    assert row(["y %>% h()"]) == (0, 1, "magrittr %>%") and row(["z"]) == (0, 0, "none") and row([]) == (0, 0, "none")
+
+
+def test_context_of_a_node_and_of_a_query(graph):
+    assert context.node_context("dplyr", graph.nodes, graph.edges, "full") == "dplyr\nCalled by: a".split("\n")[0]
+    assert context.node_context("pkg::b", graph.nodes, graph.edges) == "b(x) {\nbody of pkg::b\n}"
+    assert context.node_context("pkg::b", graph.nodes, graph.edges, "compressed") == "b(x)\nCalls: c\nCalled by: a"
+    with pytest.warns(UserWarning):
+        assert context.node_context("zzz", graph.nodes, graph.edges) == ""
+    found = {"nodes": [(f"n{i}", 1 - i / 10, 5) for i in range(7)], "tokens_used": 35, "budget_tokens": 140, "seed_node": "n0"}
+    assert context.shown_context(found) == "<context of n0: 7 nodes (n0, n1, n2, n3, n4, ...), 35 of 140 tokens>"
+    assert context.context_summary(found)["utilisation"] == 25.0 and len(context.context_summary(found)["top"]) == 5
+
+
+def test_completions():
+    asked = []
+    replies = [{"choices": [{"message": {"role": "assistant", "tool_calls": [{"id": "1", "function": {"name": "find_callers", "arguments": '{"name": "a"}'}}, {"id": "2", "function": {"name": "none", "arguments": "{}"}}]}}]}, {"choices": [{"message": {"content": "done"}}]}]
+
+    def post(url, body, headers, timeout):
+        asked.append(json.loads(json.dumps(body)))
+        return replies[len(asked) - 1]
+
+    backend = chat.Completions("m", "k", post=post)
+    assert backend("s", "q", {"find_callers": lambda name, limit=20: f"callers of {name}"}) == "done"
+    assert [m["content"] for m in asked[1]["messages"][-2:]][0] == "callers of a" and asked[1]["messages"][-1]["content"].startswith("no such call")
+    assert asked[0]["tools"][0]["function"]["name"] == "find_callers"
+    with pytest.raises(RuntimeError):
+        chat.Completions("m", "k", post=lambda *_: {"error": {"message": "no"}})("s", "q", {})
+    with pytest.raises(ValueError):
+        chat.Completions("m", "")
+
+
+def test_a_silent_service_gives_way(spark, tmp_path):
+    with pytest.warns(UserWarning):
+        assert e.usable(e.LocalDaemon("m", url="http://127.0.0.1:9")) is None
+    assert e.usable(None) is None and e.load_cache(spark, str(tmp_path)) is None
+    _, new = e.embed(spark.createDataFrame([(1, "a")], "id long, text string"), counting(str(tmp_path / "x")))
+    e.save_cache(new, str(tmp_path))
+    assert e.load_cache(spark, str(tmp_path)).count() == 1
+
+
+def test_plots(graph, tmp_path):
+    dot = plot.plot(graph)
+    assert dot.startswith("digraph") and '"pkg::a" -> "pkg::b"' in dot
+    for kind in ("svg", "html", "dot"):
+        plot.plot(graph, str(tmp_path / f"g.{kind}"))
+    assert (tmp_path / "g.svg").read_text().count("<circle") == 5 and "addEventListener" in (tmp_path / "g.html").read_text()
+    with pytest.raises(ValueError):
+        plot.plot(graph, str(tmp_path / "g.xyz"))
