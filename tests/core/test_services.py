@@ -4,6 +4,7 @@ import json
 import urllib.error
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph import schema as S
 from loomgraph.functions import embedders as e
@@ -153,7 +154,9 @@ def test_pipes(spark):
 
 
 def test_context_of_a_node_and_of_a_query(graph):
-    assert context.node_context("dplyr", graph.nodes, graph.edges, "full") == "dplyr\nCalled by: a".split("\n")[0]
+    # a package is shown compressed whatever the mode: by its signature, or its name where it has none
+    assert context.node_context("dplyr", graph.nodes, graph.edges, "full") == "(x)"
+    assert context.node_context("dplyr", graph.nodes.withColumn("signature", F.lit(None).cast("string")), graph.edges, "full") == "dplyr"
     assert context.node_context("pkg::b", graph.nodes, graph.edges) == "b(x) {\nbody of pkg::b\n}"
     assert context.node_context("pkg::b", graph.nodes, graph.edges, "compressed") == "b(x)\nCalls: c\nCalled by: a"
     with pytest.warns(UserWarning):
