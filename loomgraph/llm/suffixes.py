@@ -159,7 +159,9 @@ def _segments(length: int, k: int, blocks: int):
 
 class Columns:
     """Columns of equal length as files in `folder` (of any file system that pyarrow knows, by URI or path): each turn
-    reads the last one's from front to back, and writes new ones."""
+    reads the last one's from front to back, and writes new ones; then the last one's are deleted.  No file is written
+    over: some file systems (ext4) send one that was cut to nothing and written again to the disk when it is closed, and
+    a block would wait for all that its rounds write."""
 
     def __init__(self, folder: str, **kinds: np.dtype):
         self.fs, self.folder = pa.fs.FileSystem.from_uri(folder)
@@ -168,7 +170,7 @@ class Columns:
         self.turn, self.n, self.growing = 0, 0, 0
 
     def _path(self, name: str, turn: int) -> str:
-        return f"{self.folder}/{name}{turn % 2}"
+        return f"{self.folder}/{name}{turn}"
 
     def begin(self) -> None:
         self.out = {name: self.fs.open_output_stream(self._path(name, self.turn + 1)) for name in self.kinds}
@@ -182,6 +184,9 @@ class Columns:
     def end(self) -> None:
         for f in self.out.values():
             f.close()
+        if self.turn:
+            for name in self.kinds:
+                self.fs.delete_file(self._path(name, self.turn))
         self.turn, self.n = self.turn + 1, self.growing
 
     def runs(self, *names: str) -> Iterator[tuple]:

@@ -154,6 +154,25 @@ def test_collection_bwt(tmp_path_factory, segments):
         assert lcp[r] == common
 
 
+def test_columns_are_never_written_over(tmp_path, monkeypatch):
+    """A file that is cut and written again is sent to the disk by some file systems, round for round."""
+    folder, opened, most = tmp_path / "bwt", [], []
+    begin = suffixes.Columns.begin
+
+    def checked(columns):
+        had = set(folder.iterdir())
+        most.append(len(had))
+        begin(columns)
+        opened.extend(set(folder.iterdir()) - had)
+        assert set(folder.iterdir()) - had == {folder / columns._path(name, columns.turn + 1).rsplit("/", 1)[1] for name in columns.kinds}
+
+    monkeypatch.setattr(suffixes.Columns, "begin", checked)
+    columns = suffixes.collection_bwt(np.array([1, 2, 3, 1, 2, 3, 2], np.uint32), np.array([3, 4]), str(folder))
+    assert len(opened) == 5 * len(columns.kinds) and max(most) == len(columns.kinds) == len(list(folder.iterdir()))
+    columns.close()
+    assert not folder.exists()
+
+
 @pytest.mark.parametrize("n", [1, 5, 17, 40])
 def test_parts_have_tasks_of_their_own(spark, n):
     from pyspark.sql import functions as F
