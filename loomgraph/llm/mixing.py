@@ -8,14 +8,15 @@ decision.  The log odds are summed with weights, of a set gated by the decision'
 after each decision the weights take a step down the coding loss, and the mixed probability is refined by an adaptive map
 (per text, by its quantised logarithm).  The score is the sum of -log2 of the probabilities given to what came.
 
-Adaptation (weights, counters, map) starts anew every SEGMENT bytes of a text (contexts go on), so that segments, not
-whole texts, run in lockstep, one lane each, and a very long text takes no longer than others.  Whole texts are scored.
+Weights, counters and map learn from a text's first decision to its last.  Texts run in lockstep, one lane each, so they
+are dealt to tasks by their length (by_length()) and end together; a text of over LONG bytes is scored alone, one decision
+after the other.  Which way a text is scored depends on its length only.
 
 Plan: a first scan counts pairs of bytes, for the trees and the share of slots that contexts after each byte get; a second
 one counts (context slot, byte) pairs; each task sends what it counted, by predictor and range of slots, and
 one shuffle adds it up, so what is gathered follows the input.  The tables made of it have slots that double with each
-fourfold corpus (table_bits()), to MOST_BITS at most: 256 bytes a slot, 128 MB in all.  They are broadcast, and a third
-scan scores.  The model has seen the text it scores, as in two-pass compression.
+fourfold corpus (table_bits()), to MOST_BITS at most: 256 bytes a slot, 128 MB in all.  They are broadcast; a scan of the
+lengths and one shuffle of the texts lay those of like length together, and these are scored.  The model has seen the text it scores, as in two-pass compression.
 
 scores(): doc_id, n_bytes, bits, bits_per_byte of each row.  Defined cases: null and empty texts have 0 bits and null
 bits_per_byte; a null doc_id stays null; repeated rows count and are scored as often as they are there; an empty table
@@ -25,6 +26,7 @@ gives no rows; other columns are not read.  Bits are rounded to thousandths.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,11 +39,18 @@ from loomgraph.llm.shared import chunks, forget, give_back, utf8_buffers, writte
 from loomgraph.llm.windows import pack, unpack
 
 PREDICTORS = 2
-SEGMENT, TURN = 1024, 64
+#: Bytes of a text after which its adaptation would start anew: none has as many.
+SEGMENT = 1 << 62
+#: Bytes of each text whose decisions are laid out at once; decisions after which costs are added up.
+STRETCH, TURN = 512, 64
+#: Lanes whose decisions are laid out by one step, so that what it makes stays in the cache.
+FEW = 32
 #: Bits of the tables' slots, at least and at most; slots of a part of a table.
 LEAST_BITS, MOST_BITS, PART_SLOTS = 16, 18, 2048
-#: Bytes of corpus up to which tables have 1 << LEAST_BITS slots, and of text that are scored in lockstep.
-SMALL_CORPUS, GROUP_BYTES = 256 << 20, 4 << 20
+#: Bytes of corpus up to which tables have 1 << LEAST_BITS slots, and of text that are scored in lockstep at most.
+SMALL_CORPUS, GROUP_BYTES = 256 << 20, 32 << 20
+#: Texts in lockstep at most, and bytes of a text beyond which it is scored alone.
+LANES, LONG = 4096, 80 << 10
 RATE, REFINE, OWN_RATE = 0.02, 0.02, 0.2
 #: First weights of the predictors, of none, and of the text's own counters.
 START = (0.6, 0.6, 0.0, 1.0)
@@ -49,6 +58,8 @@ START = (0.6, 0.6, 0.0, 1.0)
 OWN_BITS = 10
 GATES, STEPS_OF_MAP = 6, 33
 SCALE = np.float32(1 / 16)
+#: Bits for a slot in features().
+SLOT_BITS = np.uint64(24)
 PACKED = pa.schema([("part", pa.int32()), ("packed", pa.binary())])
 
 
@@ -79,16 +90,15 @@ def contexts(data: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], np.nd
     """Hashes of each byte's context for the two predictors, and of the last two bytes; nothing comes before a text's first
     byte."""
     n = len(data)
-    first = np.zeros(n, bool)
     begin = off[:-1][np.diff(off) > 0]
-    first[begin] = True
     d = data.astype(np.uint32)
-    age = np.arange(n) - np.repeat(begin, np.diff(np.r_[begin, n])) if n else np.empty(0, np.int64)
     back = []
     for k in (1, 2, 3, 4):
         x = np.zeros(n, np.uint32)
-        x[k:] = d[:-k] + np.uint32(1)
-        x[age < k] = 0
+        np.add(d[:-k], np.uint32(1), out=x[k:])
+        for j in range(k):
+            at = begin + j
+            x[at[at < n]] = 0
         back.append(x)
 
     def mixed(x: np.ndarray) -> np.ndarray:
@@ -98,21 +108,21 @@ def contexts(data: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], np.nd
         return x
 
     two = back[0] + back[1] * np.uint32(257)
-    # the word so far: a prefix sum of bytes times powers, from the word's beginning (the byte after the last gap)
-    gap = GAP[data]
-    start = np.zeros(n, np.int64)
-    # a byte's word begins after the last gap before it, or with the text
-    last = np.maximum.accumulate(np.where(gap, np.arange(n) + 1, np.where(first, np.arange(n), 0))) if n else start
-    start[1:] = last[:-1]
-    start = np.maximum(start, np.repeat(begin, np.diff(np.r_[begin, n])) if n else start)
+    # the word so far: a prefix sum of bytes times powers, from the word's beginning, which is after
+    # the last gap before the byte, or where the text begins
+    here = np.arange(n, dtype=np.int32)
+    start = np.zeros(n, np.int32)
+    np.multiply(here[1:], GAP.take(data[:-1]), out=start[1:])
+    start[begin] = begin
+    np.maximum.accumulate(start, out=start)
     powers = _powers(n + 1)
     total = np.empty(n + 1, np.uint32)
     total[0] = 0
     np.cumsum((d | np.uint32(32)) * powers[0][:n], out=total[1:], dtype=np.uint32)
-    word = (total[:n] - total[start]) * powers[1][start]
-    length = (np.arange(n) - start).astype(np.uint32)
+    word = (total[:n] - total.take(start)) * powers[1].take(start)
+    length = (here - start).view(np.uint32)
     four = mixed(two + (back[2] + back[3] * np.uint32(257)) * np.uint32(66049))
-    word = mixed(word * np.uint32(31) + length + np.where(length == 0, two, 0).astype(np.uint32))
+    word = mixed(word * np.uint32(31) + length + two * (length == 0))
     return [four, word], mixed(two + np.uint32(0x10001))
 
 
@@ -297,133 +307,237 @@ def model(docs: DataFrame) -> Model:
     return Model(trees, slots, tables)
 
 
-def cells(data: np.ndarray, off: np.ndarray, pair: np.ndarray, known: Model) -> tuple[np.ndarray, np.ndarray]:
-    """For each decision the predictors' odds (bytes), and twice the gate plus the bit, above the number of the text's own
-    counter."""
+def features(data: np.ndarray, off: np.ndarray, known: Model) -> tuple[np.ndarray, np.ndarray]:
+    """pairs(), and for each byte the slots of the two predictors, above them the hash for the text's own counter, and above
+    it whether a letter came before."""
+    pair, feature = np.empty(len(data), np.uint16), np.empty(len(data), np.uint64)
+    at = 0
+    while at < len(off) - 1:  # few texts at a time, so that what a step makes stays in the cache
+        to = max(at + 1, int(np.searchsorted(off, off[at] + (1 << 16), side="right")) - 1)
+        some, begin = slice(off[at], off[to]), off[at : to + 1] - off[at]
+        here = data[some]
+        p = pairs(here, begin)
+        hashes, own = contexts(here, begin)
+        letter = np.zeros(len(here), np.uint64)
+        letter[1:] = ~GAP[here[:-1]]
+        letter[begin[:-1][np.diff(begin) > 0]] = 0
+        x = letter << np.uint64(OWN_BITS) | own >> np.uint32(16) & np.uint32((1 << OWN_BITS) - 1)
+        for h in hashes:
+            x <<= SLOT_BITS
+            x |= known.slots.of(p >> 8, h).view(np.uint64)
+        pair[some], feature[some] = p, x
+        at = to
+    return pair, feature
+
+
+def cells(pair: np.ndarray, feature: np.ndarray, known: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each byte the number of its decisions; for each decision the predictors' odds (bytes), and twice the gate plus
+    the bit, above the number of the text's own counter."""
     trees = known.trees
-    n = trees.size[pair]
+    n = trees.size.take(pair)
     # the place of each decision in the trees' paths
     flat = np.arange(int(n.sum()))
-    flat += np.repeat(trees.first[pair] - np.cumsum(n) + n, n)
+    flat += np.repeat(trees.first.take(pair) - np.cumsum(n) + n, n)
     node = trees.node.take(flat)
     cell = np.zeros((len(flat), 4), np.int8)
-    hashes, own = contexts(data, off)
-    for i, (h, table) in enumerate(zip(hashes, known.tables)):
-        at = np.repeat(known.slots.of(pair >> 8, h) << 8, n)
+    low = np.uint64((1 << int(SLOT_BITS)) - 1)
+    for i, table in enumerate(known.tables):
+        slot = feature >> np.uint64(PREDICTORS - 1 - i) * SLOT_BITS & low
+        at = np.repeat(slot.view(np.int64) << 8, n)
         at += node
         cell[:, i] = table.reshape(-1).take(at)
-    letter = np.zeros(len(data), np.uint16)
-    letter[1:] = ~GAP[data[:-1]]
-    letter[off[:-1][np.diff(off) > 0]] = 0
-    own = np.repeat((own >> np.uint32(16)).astype(np.uint16), n)
+    top = (feature >> np.uint64(PREDICTORS) * SLOT_BITS).astype(np.uint16)
+    letter = top >> np.uint16(OWN_BITS)
+    own = np.repeat(top & np.uint16((1 << OWN_BITS) - 1), n)
     own ^= trees.node_hash.take(flat)
     own &= np.uint16((1 << OWN_BITS) - 1)
     own |= (trees.sign.take(flat) + np.repeat(np.uint16(6) * letter, n)) << np.uint16(OWN_BITS)
-    return cell.view(np.uint32)[:, 0], own
+    return n, cell.view(np.uint32)[:, 0], own
+
+
+def first_map() -> np.ndarray:
+    return (1 / (1 + np.exp(-(np.arange(STEPS_OF_MAP) - 16) / 2))).astype(np.float32)
+
+
+def alone(pair: np.ndarray, feature: np.ndarray, known: Model) -> float:
+    """Bits of one text, one decision after the other."""
+    weights = [[START[0], START[1], START[3]] for _ in range(GATES)]
+    refined, counters = first_map().tolist(), [0.0] * (1 << OWN_BITS)
+    below, total, exp, log2 = (1 << OWN_BITS) - 1, 0.0, math.exp, math.log2
+    for at in range(0, len(pair), 1 << 16):
+        _, cell, info = cells(pair[at : at + (1 << 16)], feature[at : at + (1 << 16)], known)
+        odds = cell.view(np.int8).reshape(-1, 4)[:, :2] * float(SCALE)
+        for a, b, q in zip(odds[:, 0].tolist(), odds[:, 1].tolist(), info.tolist()):
+            m, o = q >> OWN_BITS, q & below
+            w, c = weights[m >> 1], counters[o]
+            dot = a * w[0] + b * w[1] + c * w[2]
+            dot = -8.0 if dot < -8.0 else 8.0 if dot > 8.0 else dot
+            p = 1 / (1 + exp(-dot))
+            k = int(dot * 2 + 16.5)
+            r = refined[k]
+            if m & 1:
+                total -= log2((p + r) / 2)
+                refined[k] = r + (1 - r) * REFINE
+                error = 1 - p
+            else:
+                total -= log2(1 - (p + r) / 2)
+                refined[k] = r - r * REFINE
+                error = -p
+            counters[o] = c + error * OWN_RATE
+            error *= RATE
+            w[0] += a * error
+            w[1] += b * error
+            w[2] += c * error
+    return total
 
 
 def score(data: np.ndarray, off: np.ndarray, known: Model) -> np.ndarray:
     """Bits of each text."""
-    bits = np.zeros(len(off) - 1)
+    size = np.diff(off)
+    bits = np.zeros(len(size))
     if not len(data):
         return bits
-    pair = pairs(data, off)
-    ends = np.r_[0, np.cumsum(known.trees.size[pair])]
-    cell, info, at = np.empty(ends[-1], np.uint32), np.empty(ends[-1], np.uint16), 0
-    while at < len(off) - 1:  # few texts at a time, so that what a step makes stays in the cache
-        to = max(at + 1, int(np.searchsorted(off, off[at] + (1 << 16), side="right")) - 1)
-        some = slice(ends[off[at]], ends[off[to]])
-        cell[some], info[some] = cells(data[off[at] : off[to]], off[at : to + 1] - off[at], pair[off[at] : off[to]], known)
-        at = to
-    # segments, the longest (in decisions) first
-    size = np.diff(off)
-    parts = -(-size // SEGMENT)
-    row = np.repeat(np.arange(len(size)), parts)
-    begin = off[row] + SEGMENT * (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts))
-    end = np.minimum(begin + SEGMENT, off[row + 1])
-    length = ends[end] - ends[begin]
-    order = np.argsort(-length, kind="stable")
-    place, length, row = ends[begin][order], length[order], row[order]
-    lanes = len(row)
-    live = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1), side="right")
+    pair, feature = features(data, off, known)
+    for i in np.flatnonzero(size > LONG):
+        bits[i] = alone(pair[off[i] : off[i + 1]], feature[off[i] : off[i + 1]], known)
+    # a lane for each other text, the longest first
+    who = np.flatnonzero((size > 0) & (size <= LONG))
+    who = who[np.argsort(-size[who], kind="stable")]
+    size, begin, lanes = size[who], off[who], len(who)
     # a lane has a row of weights (16 bytes a gate, moved as one number), of the map and of counters
     weights = np.tile(np.array(START, np.float32), (GATES * lanes, 1)).view(np.complex128)[:, 0]
-    refined = np.tile((1 / (1 + np.exp(-(np.arange(STEPS_OF_MAP) - 16) / 2))).astype(np.float32), lanes)
+    refined = np.tile(first_map(), lanes)
     counters = np.zeros(lanes << OWN_BITS, np.float32)
     gate_of, bit_of = np.arange(2 * GATES) >> 1, (np.arange(2 * GATES) & 1).astype(np.float32)
-    cost, product = np.zeros(lanes), np.ones(lanes)
+    cost = np.zeros(lanes)
     one, two, half, middle, most = (np.float32(x) for x in (1, 2, 0.5, 16.5, 8))
     rate, refine, own_rate = np.float32(RATE), np.float32(REFINE), np.float32(OWN_RATE)
-    lane = np.arange(lanes)
-    map_of, gates_of, own_of = lane * STEPS_OF_MAP, lane * GATES, lane << OWN_BITS
     above, below = np.uint16(OWN_BITS), np.uint16((1 << OWN_BITS) - 1)
-    for t, k in enumerate(live.tolist()):
-        here = place[:k]
-        x = (cell.take(here).view(np.int8) * SCALE).reshape(k, 4)
-        q = info.take(here)
-        here += 1
-        m = q >> above
-        q &= below
-        bit, gate, o = bit_of.take(m), gate_of.take(m), own_of[:k] + q
-        gate += gates_of[:k]
-        w = weights.take(gate).view(np.float32).reshape(k, 4)
-        c = counters.take(o)
-        x[:, 3] = c
-        # the sum of four products, two at a time
-        both = (x * w).view(np.complex64)
-        both = (both[:, 0] + both[:, 1]).view(np.float32)
-        dot = both[::2] + both[1::2]
-        np.maximum(dot, -most, out=dot)
-        np.minimum(dot, most, out=dot)
-        p = dot * two
-        p += middle
-        spot = p.astype(np.int64)
-        spot += map_of[:k]
-        np.negative(dot, out=dot)
-        np.exp(dot, out=p)
-        p += one
-        np.divide(one, p, out=p)
-        r = refined.take(spot)
-        # the probability given to what came: final where the bit is 1, else 1 - final
-        np.add(p, r, out=dot)
-        dot *= half
-        dot += bit
-        dot -= one
-        product[:k] *= np.abs(dot, out=dot)
-        error = np.subtract(bit, p, out=p)
-        np.subtract(bit, r, out=dot)
-        dot *= refine
-        r += dot
-        refined[spot] = r
-        np.multiply(error, own_rate, out=dot)
-        c += dot
-        counters[o] = c
-        error *= rate
-        x *= np.repeat(error, 4).reshape(k, 4)
-        w += x
-        weights[gate] = w.view(np.complex128)[:, 0]
-        if t % TURN == TURN - 1:
-            cost -= np.log2(product)
-            product[:] = 1
-    cost -= np.log2(product)
-    np.add.at(bits, row, cost)
+    for done in range(0, int(size.max(initial=0)), STRETCH):
+        # lay out the next decisions of all lanes that go on
+        going = int(np.searchsorted(-size, -done, side="left"))
+        n = np.minimum(size[:going] - done, STRETCH)
+        length, parts = np.empty(going, np.int64), []
+        for i in range(0, going, FEW):
+            m, first = n[i : i + FEW], begin[i : min(going, i + FEW)] + done
+            at = np.arange(m.sum()) + np.repeat(first - np.cumsum(m) + m, m)
+            each, *laid = cells(pair[at], feature[at], known)
+            length[i : i + len(m)] = np.add.reduceat(each, np.cumsum(m) - m)
+            parts.append(laid)
+        cell, info = map(np.concatenate, zip(*parts))
+        lane = np.argsort(-length, kind="stable")
+        place, length = (np.cumsum(length) - length)[lane], length[lane]
+        live = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1), side="right")
+        map_of, gates_of, own_of = lane * STEPS_OF_MAP, lane * GATES, lane << OWN_BITS
+        product = np.ones(going)
+        for t, k in enumerate(live.tolist()):
+            here = place[:k]
+            x = (cell.take(here).view(np.int8) * SCALE).reshape(k, 4)
+            q = info.take(here)
+            here += 1
+            m = q >> above
+            q &= below
+            bit, gate, o = bit_of.take(m), gate_of.take(m), own_of[:k] + q
+            gate += gates_of[:k]
+            w = weights.take(gate).view(np.float32).reshape(k, 4)
+            c = counters.take(o)
+            x[:, 3] = c
+            # the sum of four products, two at a time
+            both = (x * w).view(np.complex64)
+            both = (both[:, 0] + both[:, 1]).view(np.float32)
+            dot = both[::2] + both[1::2]
+            np.maximum(dot, -most, out=dot)
+            np.minimum(dot, most, out=dot)
+            p = dot * two
+            p += middle
+            spot = p.astype(np.int64)
+            spot += map_of[:k]
+            np.negative(dot, out=dot)
+            np.exp(dot, out=p)
+            p += one
+            np.divide(one, p, out=p)
+            r = refined.take(spot)
+            # the probability given to what came: final where the bit is 1, else 1 - final
+            np.add(p, r, out=dot)
+            dot *= half
+            dot += bit
+            dot -= one
+            product[:k] *= np.abs(dot, out=dot)
+            error = np.subtract(bit, p, out=p)
+            np.subtract(bit, r, out=dot)
+            dot *= refine
+            r += dot
+            refined[spot] = r
+            np.multiply(error, own_rate, out=dot)
+            c += dot
+            counters[o] = c
+            error *= rate
+            x *= np.repeat(error, 4).reshape(k, 4)
+            w += x
+            weights[gate] = w.view(np.complex128)[:, 0]
+            if t % TURN == TURN - 1:
+                cost[lane] -= np.log2(product)
+                product[:] = 1
+        cost[lane] -= np.log2(product)
+    bits[who] = cost
     return bits
 
 
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows in runs of LANES, or of GROUP_BYTES of text, as batches are smaller."""
+    held, rows, size = [], 0, 0
+    for run in chunks(batches):
+        while run.num_rows:
+            some, run = run.slice(0, LANES - rows), run.slice(LANES - rows)
+            held.append(some)
+            rows += some.num_rows
+            size += len(utf8_buffers(some.column("text"))[0])
+            if rows == LANES or size >= GROUP_BYTES:
+                yield pa.Table.from_batches(held)
+                held, rows, size = [], 0, 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _scores(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, size=GROUP_BYTES):
-            data, off = utf8_buffers(batch.column("text"))
+        for group in groups(batches):
+            data, off = utf8_buffers(group.column("text"))
             bits, n = score(data, off, known.value), np.diff(off)
             each = pa.array(np.round(bits / np.maximum(n, 1), 6), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.round(bits, 3)), each], names=["doc_id", "n_bytes", "bits", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([group.column("doc_id").combine_chunks(), pa.array(n, pa.int64()), pa.array(np.round(bits, 3)), each], names=["doc_id", "n_bytes", "bits", "bits_per_byte"])
         give_back()
 
     return run
 
 
+def shares(held: dict[int, int], tasks: int) -> tuple[list[float], int]:
+    """For classes of length (four to a doubling) and the bytes of their texts, where each class begins when all are laid
+    along parts, and the number of parts: parts have as many bytes as make `tasks` of all, but of long texts enough for
+    LANES / 8 of them, and 3/4 of GROUP_BYTES at most, so that nearly every part makes one group."""
+    most = GROUP_BYTES // 4 * 3
+    each = min(most, max(1 << 20, sum(held.values()) // tasks))
+    first = [0.0]
+    for c in range(max(held, default=0) + 1):
+        first.append(first[-1] + held.get(c, 0) / min(most, max(each, LANES // 8 * int(2 ** ((c + 1) / 4)))))
+    return first, max(1, math.ceil(first[-1]))
+
+
+def by_length(docs: DataFrame) -> DataFrame:
+    """The rows in tasks of texts of like length, sorted by it, as texts in lockstep should end together."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    sized = docs.withColumn("size", size).withColumn("class", F.floor(F.log2(F.greatest(F.col("size"), F.lit(1))) * 4).cast("int"))
+    held = {r[0]: r[1] for r in sized.groupBy("class").agg(F.sum("size")).collect()}  # 124 classes at most
+    first, n = shares(held, 4 * docs.sparkSession.sparkContext.defaultParallelism)
+    begin = F.array(*map(F.lit, first))
+    low, high = F.get(begin, F.col("class")), F.get(begin, F.col("class") + 1)
+    within = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / (1 << 20)
+    part = F.least(F.floor(low + (high - low) * within), F.lit(n - 1)).cast("int")
+    return sized.repartitionById(n, part).sortWithinPartitions(F.desc("size")).select("doc_id", "text")
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """See the module's text."""
     known = docs.sparkSession.sparkContext.broadcast(model(docs))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(_scores(known), "doc_id long, n_bytes long, bits double, bits_per_byte double")
+    return by_length(plain).mapInArrow(_scores(known), "doc_id long, n_bytes long, bits double, bits_per_byte double")

@@ -68,6 +68,34 @@ def test_scores(documents, rng):
     assert mixing.scores(docs.where("doc_id < 0")).collect() == []
 
 
+def test_adaptation_goes_on_to_the_end_of_a_text(documents, rng, monkeypatch):
+    texts = [sentence(rng, n, 50) for n in (1, 3, 1500, 700, 40, 1500, 0, 200)] + ["x" * 1023, "y" * 1024, "z" * 1025]
+    known = mixing.model(documents(list(enumerate(texts))))
+    with monkeypatch.context() as m:
+        m.setattr(mixing, "SEGMENT", 1 << 40)
+        want = [plain_bits(np.frombuffer(t.encode(), np.uint8), known) for t in texts]
+    data, off = np.frombuffer("".join(texts).encode(), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+    got = mixing.score(data, off, known)
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-3)
+    # what a text's first part taught the weights helps its later ones: the parts cost more when each begins anew
+    each = mixing.score(data[: 3 << 10], np.arange(0, (3 << 10) + 1, 1 << 10), known).sum()
+    assert mixing.score(data[: 3 << 10], np.array([0, 3 << 10]), known)[0] < each
+    # one decision after the other, with the same result
+    monkeypatch.setattr(mixing, "LONG", 1024)
+    assert np.allclose(mixing.score(data, off, known), got, rtol=1e-5, atol=1e-3)
+
+
+def test_tasks_have_texts_of_like_length(documents, rng, monkeypatch):
+    rows = [(i, "a" * rng.choice([1, 30, 500, 9000])) for i in range(300)] + [(None, None), (7, "again"), (7, "again")]
+    found = mixing.by_length(documents(rows).select("doc_id", "text"))
+    assert sorted((r.doc_id or -1, r.text or "") for r in found.collect()) == sorted((d or -1, t or "") for d, t in rows)
+    first, n = mixing.shares({0: 10, 40: 30 << 30, 56: 1 << 30}, 8)
+    assert first == sorted(first) and n == -(-(31 << 30) // (mixing.GROUP_BYTES // 4 * 3))
+    # few bytes, but long texts in one task, as they are scored in lockstep
+    assert mixing.shares({68: 8 << 20, 40: 8 << 20}, 1000)[1] == 9
+    assert mixing.shares({}, 8)[1] == 1
+
+
 def labelled(rng, n):
     rows, labels = [], []
     for i in range(n):
