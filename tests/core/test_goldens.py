@@ -6,6 +6,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +177,52 @@ def test_capped_against_brute_force(spark):
         assert {(x.src, x.dst) for x in semantic.semantic_edges(df, 0.5, cap).collect()} == want
 
 
+def crowd(spark, n=60):
+    """Vectors of which many are equal and all hang together, and the pairs over 0.3 of them."""
+    r = np.random.default_rng(5)
+    v = np.abs(r.normal(size=(n // 3, 5))).repeat(3, axis=0)
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+    return df, semantic.pairs(df, 0.3)
+
+
+@pytest.mark.parametrize("depth, rows", [(2, 10**6), (8, 500)])
+def test_capped_in_parts_and_with_short_lists(spark, depth, rows):
+    """One component; lists that end too early are made again; the fold goes on from part to part."""
+    df, found = crowd(spark)
+    degree, want = {}, set()
+    for x in sorted(found.collect(), key=lambda x: (x.a, -x.score, x.b)):
+        if degree.get(x.a, 0) < 4 and degree.get(x.b, 0) < 4:
+            degree[x.a], degree[x.b] = degree.get(x.a, 0) + 1, degree.get(x.b, 0) + 1
+            want.add((x.a, x.b))
+    got = [(x.src, x.dst) for x in semantic.capped(found, 4, depth=depth, rows=rows).collect()]
+    assert set(got) == want and len(got) == len(want)
+    r = np.random.default_rng(6)
+    apart = spark.createDataFrame([(i, [float(x) for x in np.abs(r.normal(size=5))]) for i in range(60)], "vec_id long, embedding array<double>")
+    want = {(x.src, x.dst) for x in semantic.capped(semantic.pairs(apart, 0.3), 4, depth=10**4).collect()}
+    got = [(x.src, x.dst) for x in semantic.semantic_edges(apart, 0.3, 4, block=45, depth=depth, rows=rows).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_pairs_come_tile_by_tile():
+    """No more pairs at once than a tile has, though all vectors of a block are alike."""
+    n = 5000
+    batch = pa.record_batch({"id": pa.array(range(n), pa.int64()), "v": pa.array([[1.0, 2.0]] * n), "block": pa.array([0] * n, pa.int32()), "i": pa.array([0] * n, pa.int32()), "j": pa.array([0] * n, pa.int32())})
+    sizes = [len(a) for a, _, _ in semantic._tiles(iter([batch]), 0.3)]
+    assert sum(sizes) == n * (n - 1) // 2 and max(sizes) <= semantic.PART
+
+
+def test_nearest_equals_the_best_of_all_pairs(spark):
+    """With ties, over several blocks; a pair of blocks sends no more than k rows a vector."""
+    df, found = crowd(spark)
+    want = sorted(tuple(r) for r in semantic.top_partners(found, 3).collect())
+    assert sorted(tuple(r) for r in semantic.nearest(df, 0.3, 3, block=30).collect()) == want
+    best = semantic.Best(2)
+    best.add(np.array([1] * 5 + [2]), np.array([9, 8, 7, 6, 5, 4]), np.array([1.0, 1, 1, 3, 1, 1]), np.zeros(6))
+    (got,) = best.batches()
+    assert got.select(["id", "partner", "more"]).to_pylist() == [{"id": 1, "partner": 6, "more": False}, {"id": 1, "partner": 5, "more": True}, {"id": 2, "partner": 4, "more": False}]
+    assert semantic.rounded(np.array([0.1234565, 0.1234575, 0.12345649, -0.5])).tolist() == [123457, 123458, 123456, -500000]
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables aren't here")
 def test_contexts_against_the_plain_walk(spark):
     """query_context_nodes, whose query walks the whole graph's dictionaries here."""
