@@ -24,7 +24,7 @@ def full_context(nodes: DataFrame) -> DataFrame:
 
 def compressed_context(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """name, context: signature (or name), the doc's first line, the names it calls and that call it, in order of names."""
-    calls = edges.where(F.col("edge_type") == S.CALLS).select("src", "dst").distinct()
+    calls = edges.where(F.col("edge_type") == S.CALLS).select("src", "dst")  # the sets leave out what is there twice
     bare_dst, bare_src = F.regexp_replace("dst", "^.*::", ""), F.regexp_replace("src", "^.*::", "")
     out = calls.groupBy(F.col("src").alias("name")).agg(F.array_join(F.sort_array(F.collect_set(bare_dst)), ", ").alias("callees"))
     into = calls.groupBy(F.col("dst").alias("name")).agg(F.array_join(F.sort_array(F.collect_set(bare_src)), ", ").alias("callers"))
