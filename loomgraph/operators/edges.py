@@ -115,13 +115,15 @@ def extends_edges(sources: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def assemble(nodes: DataFrame, **by_type: DataFrame) -> DataFrame:
-    """Edges of all types (keyword: type) whose ends are both nodes(name); parallel edges stay."""
+    """Edges of all types (keyword: type) whose ends are both nodes(name); parallel edges stay.  The type's name is put in
+    after the shuffles."""
     out = None
-    for kind, edges in by_type.items():
-        part = edges.select("src", "dst", F.col("weight").cast("double").alias("weight"), F.lit(kind).alias("edge_type"))
+    for i, edges in enumerate(by_type.values()):
+        part = edges.select("src", "dst", F.col("weight").cast("double").alias("weight"), F.lit(i).cast("byte").alias("kind"))
         out = part if out is None else out.unionByName(part)
     names = nodes.select("name")
-    return out.join(names, out["src"] == names["name"], "left_semi").join(names, F.col("dst") == names["name"], "left_semi")
+    kept = out.join(names, F.col("dst") == names["name"], "left_semi").join(names, F.col("src") == names["name"], "left_semi")
+    return kept.select("src", "dst", "weight", F.element_at(F.array(*map(F.lit, by_type)), F.col("kind") + 1).alias("edge_type"))
 
 
 def parse_log(lines: DataFrame) -> DataFrame:
