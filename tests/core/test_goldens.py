@@ -114,6 +114,16 @@ def test_commit_log(spark):
     assert parsed(["a" * 40]) == set() and parsed([]) == set()
 
 
+def test_usable_edges(spark):
+    """Edges of what is neither a start nor led to take no part in the walks; types are put in after the joins."""
+    edges = edges_of(spark, [("a", "b"), ("b", "c"), ("x", "b"), ("x", "y"), ("y", "z")])
+    starts = spark.createDataFrame([("a",)], "name string")
+    assert {(r.src, r.dst) for r in G.usable(edges, starts).collect()} == {("a", "b"), ("b", "c"), ("y", "z")}
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
+    got = sorted((r.src, r.dst, r.edge_type) for r in E.assemble(nodes, CALLS=edges, TESTS=edges.where("src = 'b'")).collect())
+    assert got == [("a", "b", "CALLS"), ("b", "c", "CALLS"), ("b", "c", "TESTS")]
+
+
 def test_calls_between_known_names(spark):
     rows = [("load_data", ["utils::read.csv"]), ("clean_data", ["dplyr::filter", "mutate"]), ("split_data", ["mean"]), ("fit_model", ["lm"]), ("run_benchmark", ["load_data", "clean_data", "split_data", "fit_model", "fit_model"])]
     nodes = spark.createDataFrame([(f"pkg::{n}", n, c) for n, c in rows], "id string, name string, calls_list array<string>")
